@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import table
+from latticework.llm.bpe import encode_decode
+from latticework.llm.common import crc_mod, table
 from latticework.llm.exact_dedup import exact_dedup
+from latticework.llm.langid import fit_languages, identify
 from latticework.llm.line_dedup import line_dedup
+from latticework.llm.quality import fit_quality, score_quality
+from latticework.llm.secrets import scan_secrets
 from latticework.llm.simhash import simhash_dedup
 
 
@@ -16,17 +24,61 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, carry={"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "flow")
+    joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex", "flow")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    def digest(keys: list, ids: list, raw: list[bytes]) -> pa.RecordBatch:
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return pa.RecordBatch.from_pydict(
+            {
+                "doc_id": pa.array(keys, pa.int64()),
+                "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "ids_sha256": [sha(" ".join(map(str, x.tolist())).encode()) for x in ids],
+                "decoded_sha256": [sha(x) for x in raw],
+            }
+        )
+
+    return encode_decode(
+        table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        then=digest, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = fit_quality(docs, labels, crc_mod(F.col("doc_id"), 3) != 1)
+    out = score_quality(docs, net, keep=["doc_id"])
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs, crc_mod(F.col("doc_id"), 5) != 0)
+    out = identify(docs, model)
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_line_dedup, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op3_secret_scan, op4_bpe, op5_quality, op6_line_dedup, op9_language_id, op10_simhash_dedup,
+)}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
