@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm.bpe import encode_decode
-from latticework.llm.common import crc_mod, table
+from latticework.llm.common import crc_mod, shared_dir, table
+from latticework.llm.decontaminate import find_leaks
 from latticework.llm.exact_dedup import exact_dedup
 from latticework.llm.langid import fit_languages, identify
 from latticework.llm.line_dedup import line_dedup
 from latticework.llm.quality import fit_quality, score_quality
 from latticework.llm.secrets import scan_secrets
+from latticework.llm.sharding import ShardStore
 from latticework.llm.simhash import simhash_dedup
 
 
@@ -64,6 +66,21 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents: one row for each document and benchmark item that it leaks."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents appended as small shards and compacted; one row per document, read back from the last version."""
+    store = ShardStore(spark, shared_dir(spark))
+    store.append(table(spark, sf_dir, "documents"))
+    version = store.compact()
+    return store.read(version).select(
+        "doc_id", F.col("_shard").alias("shard"), F.lit(version).cast("long").alias("version"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_languages(docs, crc_mod(F.col("doc_id"), 5) != 0)
@@ -77,7 +94,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op3_secret_scan, op4_bpe, op5_quality, op6_line_dedup, op9_language_id, op10_simhash_dedup,
+    op1_exact_dedup, op3_secret_scan, op4_bpe, op5_quality, op6_line_dedup, op7_decontaminate, op8_sharding, op9_language_id, op10_simhash_dedup,
 )}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
