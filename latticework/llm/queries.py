@@ -15,6 +15,7 @@ from latticework.llm.decontaminate import find_leaks
 from latticework.llm.exact_dedup import exact_dedup
 from latticework.llm.langid import fit_languages, identify
 from latticework.llm.line_dedup import line_dedup
+from latticework.llm.lm_score import score_documents
 from latticework.llm.quality import fit_quality, score_quality
 from latticework.llm.secrets import scan_secrets
 from latticework.llm.sharding import ShardStore
@@ -26,6 +27,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, carry={"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "flow")
@@ -94,7 +99,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op3_secret_scan, op4_bpe, op5_quality, op6_line_dedup, op7_decontaminate, op8_sharding, op9_language_id, op10_simhash_dedup,
+    op1_exact_dedup, op2_lm_score, op3_secret_scan, op4_bpe, op5_quality, op6_line_dedup, op7_decontaminate, op8_sharding, op9_language_id, op10_simhash_dedup,
 )}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
