@@ -69,3 +69,13 @@ def hot_join(facts: DataFrame, dims: DataFrame, on: list[str], row_id: str, weig
         F.explode(F.when(F.col(weight) > limit, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))),
     )
     return salted.join(keyed, [*on, "_salt"], how).drop("_salt", "_hot")
+
+
+#: Ids that may be broadcast to drop rows: 8 bytes each, so 16 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not among ids; rows with a null id stay. Ids are broadcast behind a check of their number."""
+    ids = stored(ids.filter(F.col(id_col).isNotNull()), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_anti").select(*rows.columns)
