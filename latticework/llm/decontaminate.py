@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of documents and benchmark items are TF-IDF vectors over the words of the benchmark. A distributed randomised
-SVD of the passages gives the leading directions of the corpus; the items are folded in, so that the latent space spans
-both. Passages near an item in that space are candidates; a longest common subsequence, a common run of words and a
-check of the item's answer decide.
+SVD of the passages gives the leading directions of the corpus and their singular values; the items are folded in, so
+that the latent space spans both, and a direction counts the less the more of the corpus lies along it. Passages near an
+item in that space are candidates; a longest common subsequence, a common run of words and a check of the item's answer
+decide.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from latticework.llm.common import stored
 #: A passage is two successive steps of STEP words; each step starts one, so every word is in two.
 STEP = 16
 #: Leading directions of the corpus, and those drawn besides for the sketch.
-RANK, OVERSAMPLE = 32, 16
+RANK, OVERSAMPLE = 16, 8
 #: Items that are searched for at once; more come in further blocks, each over all documents.
 BLOCK = 256
 #: Terms in a larger share of all steps weigh nothing, but for items that would have fewer than LEAST_TERMS left.
-COMMON, LEAST_TERMS = 0.1, 3
+COMMON, LEAST_TERMS = 0.01, 5
 #: A candidate's least cosine. A leak shares LCS of an item's words in order, or RUN words in a row; a paraphrase shares
 #: PARAPHRASE of them at a cosine of NEAR, and ANSWER of the words of the item's answer, its last sentence.
 COSINE, LCS, RUN, NEAR, PARAPHRASE, ANSWER = 0.3, 0.8, 13, 0.5, 0.6, 0.8
@@ -118,9 +119,10 @@ def encoded(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFr
 
 
 class Passages:
-    """The passages of some documents: (window, term) pairs without repeats, by window."""
+    """The passages of some documents: (window, term) pairs without repeats, by window. A passage starts at every step, or
+    with overlap=False at every second one."""
 
-    def __init__(self, docs: list[np.ndarray], weight: np.ndarray):
+    def __init__(self, docs: list[np.ndarray], weight: np.ndarray, overlap: bool = True):
         lengths = np.array([len(d) for d in docs], np.int64)
         steps = -(-lengths // STEP)
         self.first = np.concatenate([[0], np.cumsum(steps)])
@@ -129,8 +131,12 @@ class Passages:
         known = ids < len(weight)
         known[known] = weight[ids[known]] > 0
         ids, step, start = ids[known], (np.repeat(self.first[:-1], lengths) + at // STEP)[known], np.repeat(self.first[:-1], lengths)[known]
-        earlier = step > start
-        pairs = np.unique(np.concatenate([step, step[earlier] - 1]) * len(weight) + np.concatenate([ids, ids[earlier]]))
+        if overlap:
+            earlier = step > start
+            step, ids = np.concatenate([step, step[earlier] - 1]), np.concatenate([ids, ids[earlier]])
+        else:
+            step = step - (step - start) % 2
+        pairs = np.unique(step * len(weight) + ids)
         self.window, self.term = pairs // max(1, len(weight)), pairs % max(1, len(weight))
         self.begin = np.flatnonzero(np.diff(self.window, prepend=-1))
         self.which = self.window[self.begin]
@@ -138,6 +144,16 @@ class Passages:
         if len(pairs):
             self.value = (self.value / np.repeat(np.sqrt(np.add.reduceat(self.value**2, self.begin)), np.diff(np.append(self.begin, len(pairs))))).astype(np.float32)
 
+    def keep(self, best: np.ndarray, least: float) -> None:
+        """Leave only the windows whose values times the terms' numbers in `best` add up to `least`."""
+        if not len(self.term):
+            return
+        ok = np.add.reduceat(self.value * best[self.term], self.begin) >= least
+        sizes = np.diff(np.append(self.begin, len(self.term)))
+        pairs = np.repeat(ok, sizes)
+        self.window, self.term, self.value, self.which = self.window[pairs], self.term[pairs], self.value[pairs], self.which[ok]
+        self.begin = np.cumsum(sizes[ok]) - sizes[ok]
+
     def times(self, right: np.ndarray) -> np.ndarray:
         """The rows of windows that have a term, times a matrix with a row for each term."""
         if not len(self.term):
@@ -223,7 +239,7 @@ def latent_space(ids: DataFrame, items: Items, weight: np.ndarray, rank: int = R
         w, omega = draw.value
         total = np.zeros((v, width))
         for _, docs in _read(batches, kind):
-            p = Passages(docs, w)
+            p = Passages(docs, w, overlap=False)
             if not len(p.term):
                 continue
             y = np.repeat(p.times(omega), np.diff(np.append(p.begin, len(p.term))), axis=0) * p.value[:, None]
@@ -243,7 +259,7 @@ def latent_space(ids: DataFrame, items: Items, weight: np.ndarray, rank: int = R
         w, right = turn.value
         total = np.zeros((width, width))
         for _, docs in _read(batches, kind):
-            b = Passages(docs, w).times(right)
+            b = Passages(docs, w, overlap=False).times(right)
             total += b.T @ b
         return total
 
@@ -255,18 +271,36 @@ def latent_space(ids: DataFrame, items: Items, weight: np.ndarray, rank: int = R
     return (q @ vector[:, best]).astype(np.float32), np.sqrt(np.maximum(value[best], 0))
 
 
-def search(ids: DataFrame, items: Items, weight: np.ndarray, directions: np.ndarray) -> DataFrame:
-    """(_id, _k, _cosine, _lcs, _answer) for each document and item that it leaks, once for each passage that does."""
-    vectors = _item_vectors(items, weight)
-    basis = np.linalg.qr(np.concatenate([directions.astype(np.float64), vectors.T.astype(np.float64)], axis=1))[0].astype(np.float32)
-    shared = ids.sparkSession.sparkContext.broadcast((items, weight, basis, vectors @ basis))
+def latent_items(items: Items, weight: np.ndarray, directions: np.ndarray, singular: np.ndarray) -> np.ndarray:
+    """(term x item): what a passage's TF-IDF vector is multiplied with for its cosine to each item in the latent space.
+
+    The space is spanned by the corpus' directions and the items. Along a direction with singular value s, coordinates are
+    scaled by the least singular value over s; what the items add keeps its scale.
+    """
+    vectors = _item_vectors(items, weight).astype(np.float64)
+    d = directions.astype(np.float64)
+    scale = np.where(singular > 0, singular.min(initial=np.inf, where=singular > 0) / np.maximum(singular, 1e-12), 1.0) if len(singular) else np.zeros(0)
+    within = vectors @ d
+    # B L^2 B' v for the orthonormal basis B = [d, rest]: damped along d, whole in what is left of v
+    damped = (within * scale**2) @ d.T + (vectors - within @ d.T)
+    length = np.sqrt(np.maximum((within**2 * scale**2).sum(axis=1) + ((vectors - within @ d.T) ** 2).sum(axis=1), 1e-12))
+    return (damped / length[:, None]).T.astype(np.float32)
+
+
+def search(ids: DataFrame, items: Items, weight: np.ndarray, latent: np.ndarray) -> DataFrame:
+    """(_id, _k, _cosine, _lcs, _answer) for each document and item that it leaks, once for each passage that does.
+
+    A passage whose terms, each at its best item, cannot add up to the least cosine is near no item and is left at that.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast((items, weight, latent, np.maximum(latent.max(axis=1), 0)))
     kind = ids.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, w, right, latent = shared.value
+        it, w, right, best = shared.value
         for keys, docs in _read(batches, it.dtype, 100_000):
             p = Passages(docs, w)
-            near = p.times(right) @ latent.T
+            p.keep(best, COSINE * 0.999)
+            near = p.times(right)
             rows, cols = np.nonzero(near >= COSINE)
             doc = np.searchsorted(p.first, p.which[rows], side="right") - 1
             out = []
@@ -301,8 +335,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for items in item_blocks(benchmark, item_col, "text"):
         ids = stored(encoded(docs, items, id_col, text_col), "words")
         weight = weights(ids, items)
-        directions, _ = latent_space(ids, items, weight)
-        hits = search(ids, items, weight, directions)
+        directions, singular = latent_space(ids, items, weight)
+        hits = search(ids, items, weight, latent_items(items, weight, directions, singular))
         best = hits.groupBy("_id", "_k").agg(F.max("_cosine").alias("cosine"), F.max("_lcs").alias("lcs"), F.max("_answer").alias("answer"))
         names = spark.createDataFrame(list(enumerate(items.names)), f"_k long, `{item_col}` {item_kind}")
         found = found.unionByName(best.join(F.broadcast(names), "_k").select(F.col("_id").alias(id_col), F.col(item_col), "cosine", "lcs", "answer"))
