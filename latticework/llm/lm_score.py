@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 from latticework.llm.common import stored
 
 #: Documents are worked on in blocks of about so many bytes; a single longer text is a block by itself.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 14 << 20
 #: Keys of one shard of the filter before equal ones are added up. The number of shards follows the corpus.
 SHARD_KEYS = 1 << 19
-BITS_PER_KEY, PROBES = 12, 7
+BITS_PER_KEY, PROBES = 8, 5
 #: What is broadcast at once. A larger filter goes round in several segments; each token is scored by one of them.
-SEGMENT_BYTES = 128 << 20
+SEGMENT_BYTES = 80 << 20
 #: The weight of the bigram estimate; the rest is that of the add-one unigram.
 LAMBDA = 0.4
 MOST_LEVELS = 48
+#: Tokens that are scored at once, for bounded memory.
+CHUNK = 1 << 18
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -37,13 +39,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _M3
 
 
-def bigram_keys(words: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each token and the one before it; before the first of a document stands the end mark (id 0)."""
-    before = np.empty_like(ids)
-    before[1:], before[:1] = ids[:-1], 0
-    before[ends[:-1]] = 0
+def pair_keys(words: np.ndarray, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each pair of words, from the hashes of both."""
     with np.errstate(over="ignore"):
-        return mix(words[before] * _M1 + (words[ids] ^ (words[ids] >> np.uint64(32))))
+        w = words[ids]
+        return mix(words[before] * _M1 + (w ^ (w >> np.uint64(32))))
+
+
+def keys_of(words: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By chunks of tokens: the place of the first, the tokens, those before them and the keys of both. Before the first
+    token of a document stands the end mark (id 0)."""
+    for lo in range(0, len(ids), CHUNK):
+        here = ids[lo : lo + CHUNK]
+        before = np.empty_like(here)
+        before[1:], before[:1] = here[:-1], ids[lo - 1] if lo else 0
+        before[starts[np.searchsorted(starts, lo) : np.searchsorted(starts, lo + len(here))] - lo] = 0
+        yield lo, here, before, pair_keys(words, before, here)
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -51,15 +62,19 @@ def planes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b""
 
 
-def from_planes(raw: bytes, kind: str) -> np.ndarray:
-    w = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(w, -1).T).view(kind).ravel() if raw else np.zeros(0, kind)
+def from_planes(raw: bytes | pa.Buffer, kind: str) -> np.ndarray:
+    flat = np.frombuffer(raw, np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() if len(flat) else np.zeros(0, kind)
 
 
-def positions(keys: np.ndarray, level: int, probe: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+def probes(keys: np.ndarray, level: int, bits: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
+    """The places of a (key, level) among so many bits, fewer than 2^32, one probe after the other."""
     with np.errstate(over="ignore"):
         h = mix(keys + np.uint64(level) * _M1)
-        return (h + np.uint64(probe) * (mix(h ^ _M3) | np.uint64(1))) % bits
+        step = mix(h ^ _M3) | np.uint64(1)
+        for _ in range(PROBES):
+            yield ((h >> np.uint64(32)) * bits) >> np.uint64(32)
+            h = h + step
 
 
 def build_shard(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -68,9 +83,8 @@ def build_shard(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     size = max(64, -(-int(levels.sum()) * BITS_PER_KEY // 64) * 64)
     bits = np.zeros(size, bool)
     for q in range(1, int(levels.max(initial=0)) + 1):
-        k = keys[levels >= q]
-        for p in range(PROBES):
-            bits[positions(k, q, p, np.uint64(size))] = True
+        for at in probes(keys[levels >= q], q, np.uint64(size)):
+            bits[at] = True
     return np.packbits(bits, bitorder="little")
 
 
@@ -93,9 +107,12 @@ class Segment:
         start, size, out = self.start[shard], self.size[shard], np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         for q in range(1, MOST_LEVELS + 1):
-            for p in range(PROBES):
-                at = start[alive] + positions(keys[alive], q, p, size[alive])
-                alive = alive[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            k, first, n = keys[alive], start[alive], size[alive]
+            hit = np.ones(len(alive), bool)
+            for at in probes(k, q, n):
+                at += first
+                hit &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            alive = alive[hit]
             if not len(alive):
                 break
             out[alive] = q
@@ -128,13 +145,14 @@ def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
             n = np.array(lengths, np.int64)
             train = np.repeat(~np.array(held, bool), n)
             counts = np.bincount(ids[train], minlength=len(vocab)).astype("<i8")
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab), "<u8", len(vocab)).view("<i8")
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocab), "<u8", len(vocab))
             batch = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part * (1 << 24) + seq], pa.int64()), pa.array([keys], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())),
-                    pa.array([held], pa.list_(pa.bool_())), pa.array([planes(ids)], pa.binary()), pa.array([hashes], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
+                    pa.array([part * (1 << 24) + seq], pa.int64()), pa.array([keys], pa.list_(id_type)), pa.array([n.tobytes()], pa.binary()),
+                    pa.array([np.array(held, np.uint8).tobytes()], pa.binary()), pa.array([planes(ids)], pa.binary()), pa.array([hashes.tobytes()], pa.binary()),
+                    pa.array([planes(counts)], pa.binary()), pa.array([int(counts.sum())], pa.int64()),
                 ],
-                ["_block", "_ids", "_lengths", "_held", "_tokens", "_words", "_train"],
+                ["_block", "_ids", "_lengths", "_held", "_tokens", "_words", "_train", "_n"],
             )
             vocab, keys, held, lengths, tokens, size, seq = _Vocabulary({b"": 0}), [], [], [], [], 0, seq + 1
             return batch
@@ -144,10 +162,11 @@ def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
             for k, t, h in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 raw = t.as_py()
                 w = raw.lower().split()
-                tokens.append(np.fromiter((*map(vocab.__getitem__, w), 0), np.uint32, len(w) + 1))
+                w.append(b"")
+                tokens.append(np.fromiter(map(vocab.__getitem__, w), np.uint32, len(w)))
                 keys.append(k.as_py())
                 held.append(h.as_py())
-                lengths.append(len(w) + 1)
+                lengths.append(len(w))
                 size += len(raw)
                 if size >= BLOCK_BYTES:
                     yield flush()
@@ -155,15 +174,62 @@ def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
             yield flush()
 
     slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_raw"), held_out.alias("_h"))
-    return slim.mapInArrow(
-        run, f"_block long, _ids array<{kind}>, _lengths array<long>, _held array<boolean>, _tokens binary, _words array<long>, _train array<long>"
-    )
+    return slim.mapInArrow(run, f"_block long, _ids array<{kind}>, _lengths binary, _held binary, _tokens binary, _words binary, _train binary, _n long")
+
+
+def _array(batch: pa.RecordBatch, name: str, row: int, kind: str, packed: bool = False) -> np.ndarray:
+    raw = batch.column(batch.schema.get_field_index(name))[row].as_buffer()
+    return from_planes(raw, kind) if packed else np.frombuffer(raw, kind)
+
+
+def block_words(blocked: DataFrame) -> DataFrame:
+    """(_block, _pos, _word, _c): each block's words, with their numbers of training tokens there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                words, counts = _array(b, "_words", r, "<i8"), _array(b, "_train", r, "<i8", True)
+                for lo in range(0, len(words), 1 << 16):
+                    w = words[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(w), b.column(0)[r].as_py())), pa.array(np.arange(lo, lo + len(w))), pa.array(w), pa.array(counts[lo : lo + len(w)])], ["_block", "_pos", "_word", "_c"]
+                    )
+
+    return blocked.select("_block", "_words", "_train").mapInArrow(run, "_block long, _pos long, _word long, _c long")
 
 
-def _training_keys(row: dict) -> np.ndarray:
-    words, ids = np.array(row["_words"], "<i8").view("<u8"), from_planes(row["_tokens"], "<u4")
-    n = np.array(row["_lengths"], np.int64)
-    return bigram_keys(words, ids, np.cumsum(n))[np.repeat(~np.array(row["_held"], bool), n)]
+def block_counts(counted: DataFrame) -> DataFrame:
+    """(_block, _counts, _new): the corpus' counts of each block's words, in the order of the words, and how many words
+    with a count are met here first. A task holds the words of its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
+        if not parts:
+            return
+        block, pos, c, new = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((pos, block))
+        block, c, new = block[order], c[order], new[order]
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        for lo, hi in zip(cuts, [*cuts[1:], len(block)], strict=True):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block[lo]]), pa.array([planes(c[lo:hi].astype("<i8"))], pa.binary()), pa.array([int(new[lo:hi].sum())], pa.int64())], ["_block", "_counts", "_new"]
+            )
+
+    return counted.repartition("_block").mapInArrow(run, "_block long, _counts binary, _new long")
+
+
+def _training_keys(b: pa.RecordBatch, r: int) -> np.ndarray:
+    """The sorted keys of a block's training tokens, with repeats."""
+    words, ids, n = _array(b, "_words", r, "<u8"), _array(b, "_tokens", r, "<u4", True), _array(b, "_lengths", r, "<i8")
+    ends = np.cumsum(n)
+    held = _array(b, "_held", r, "u1") != 0
+    out, size = np.empty(int(n[~held].sum()), np.uint64), 0
+    for lo, here, _, keys in keys_of(words, ids, ends - n):
+        keys = keys[~held[np.searchsorted(ends, np.arange(lo, lo + len(here)), side="right")]]
+        out[size : size + len(keys)] = keys
+        size += len(keys)
+    out.sort()
+    return out
 
 
 def filter_shards(blocked: DataFrame, n_tokens: int) -> tuple[int, DataFrame]:
@@ -173,17 +239,18 @@ def filter_shards(blocked: DataFrame, n_tokens: int) -> tuple[int, DataFrame]:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                keys, counts = np.unique(_training_keys(row), return_counts=True)
-                shard = (keys >> np.uint64(64 - top)).astype(np.int64) if top else np.zeros(len(keys), np.int64)
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-                out = [
-                    (int(shard[lo]), planes(np.diff(keys[lo:hi], prepend=np.uint64(0))), planes(counts[lo:hi].astype("<u4")))
-                    for lo, hi in zip(cuts, [*cuts[1:], len(keys)], strict=True)
-                ]
-                if out:
-                    s, k, c = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["_shard", "_keys", "_counts"])
+            for r in range(b.num_rows):
+                keys = _training_keys(b, r)
+                # where each shard's keys begin
+                cuts = np.searchsorted(keys, np.arange(1 << top, dtype=np.uint64) << np.uint64(64 - top)) if top else np.zeros(1, np.int64)
+                for shard, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
+                    if lo == hi:
+                        continue
+                    k, c = np.unique(keys[lo:hi], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard], pa.int64()), pa.array([planes(np.diff(k, prepend=np.uint64(0)))], pa.binary()), pa.array([planes(c.astype("<u4"))], pa.binary())],
+                        ["_shard", "_keys", "_counts"],
+                    )
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.cumsum(from_planes(k, "<u8"), dtype=np.uint64) for k in pdf["_keys"]])
@@ -232,23 +299,17 @@ def score_documents(
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     blocked = stored(blocks(docs, held_out, id_col, text_col), "blocks")
-    words = blocked.select("_block", F.posexplode(F.arrays_zip("_words", "_train")).alias("_pos", "_w")).select(
-        "_block", "_pos", F.col("_w._words").alias("_word"), F.col("_w._train").alias("_c")
-    )
     same = Window.partitionBy("_word")
-    counted = words.select("_block", "_pos", F.sum("_c").over(same).alias("_c"), F.row_number().over(same.orderBy("_block")).alias("_first"))
-    per_block = stored(
-        counted.groupBy("_block").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_c"))), lambda s: s["_c"]).alias("_counts"),
-            F.count_if((F.col("_first") == 1) & (F.col("_c") > 0)).alias("_new"),
-        ),
-        "counts",
+    counted = block_words(blocked).select(
+        "_block", "_pos", F.sum("_c").over(same).alias("_c"), F.row_number().over(same.orderBy("_block")).alias("_first")
     )
+    counted = counted.select("_block", "_pos", "_c", ((F.col("_first") == 1) & (F.col("_c") > 0)).cast("long").alias("_new"))
+    per_block = stored(block_counts(counted), "counts")
     v = per_block.agg(F.coalesce(F.sum("_new"), F.lit(0))).first()[0]
-    n = blocked.agg(F.coalesce(F.sum(F.aggregate("_train", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0))).first()[0]
+    n = blocked.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     top, built = filter_shards(blocked, n)
     shards = stored(built, "filter")
-    ready = blocked.drop("_train").join(per_block.select("_block", "_counts"), "_block")
+    ready = blocked.drop("_train", "_n").join(per_block.select("_block", "_counts"), "_block")
     unigram_base = float(n + v + 1)
 
     def scored(segment: Segment) -> DataFrame:
@@ -258,34 +319,30 @@ def score_documents(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seg = shared.value
             for b in batches:
-                ids_type = b.schema.field("_ids").type.value_type
-                for row in b.to_pylist():
-                    words_, ids = np.array(row["_words"], "<i8").view("<u8"), from_planes(row["_tokens"], "<u4")
-                    count, lengths = np.array(row["_counts"], np.float64), np.array(row["_lengths"], np.int64)
+                for r in range(b.num_rows):
+                    words, ids = _array(b, "_words", r, "<u8"), _array(b, "_tokens", r, "<u4", True)
+                    count, lengths = _array(b, "_counts", r, "<i8", True).astype(np.float64), _array(b, "_lengths", r, "<i8")
                     ends = np.cumsum(lengths)
                     starts = ends - lengths
                     single = (count + 1) / unigram_base
-                    log_single = np.log10(single)
-                    keys = bigram_keys(words_, ids, ends)
-                    mine = seg.holds(keys)
-                    at = np.flatnonzero(mine)
-                    before = np.empty_like(ids)
-                    before[1:], before[:1] = ids[:-1], 0
-                    before[ends[:-1]] = 0
-                    context = count[before[at]]
-                    seen = np.minimum(expected(seg.levels(keys[at])), context)
-                    p = single[ids[at]]
-                    known = context > 0
-                    p[known] = weight * seen[known] / context[known] + (1 - weight) * p[known]
-                    part = np.zeros(len(ids))
-                    part[at] = np.log10(p)
-                    zero = np.zeros(len(lengths))
+                    log_single, some = np.log10(single), count > 0
+                    known, base, total = (np.zeros(len(lengths)) for _ in range(3))
+                    for lo, here, before, keys in keys_of(words, ids, starts):
+                        doc = np.searchsorted(ends, np.arange(lo, lo + len(here)), side="right")
+                        known += np.bincount(doc, some[here], len(lengths))
+                        base += np.bincount(doc, log_single[here], len(lengths))
+                        at = np.flatnonzero(seg.holds(keys))
+                        context = count[before[at]]
+                        seen = np.minimum(expected(seg.levels(keys[at])), context)
+                        p = single[here[at]]
+                        follows = context > 0
+                        p[follows] = weight * seen[follows] / context[follows] + (1 - weight) * p[follows]
+                        total += np.bincount(doc[at], np.log10(p), len(lengths))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([row["_block"]] * len(lengths), pa.int64()), pa.array(range(len(lengths)), pa.int64()), pa.array(row["_ids"], ids_type),
-                            pa.array(row["_held"], pa.bool_()), pa.array(lengths, pa.int64()),
-                            pa.array(np.add.reduceat((count[ids] > 0).astype(np.int64), starts), pa.int64()),
-                            pa.array(np.add.reduceat(log_single[ids], starts) if first else zero), pa.array(np.add.reduceat(part, starts)),
+                            pa.array(np.full(len(lengths), b.column(0)[r].as_py())), pa.array(np.arange(len(lengths))), b.column(b.schema.get_field_index("_ids"))[r].values,
+                            pa.array(_array(b, "_held", r, "u1") != 0), pa.array(lengths), pa.array(known.astype(np.int64)),
+                            pa.array(base if first else np.zeros(len(lengths))), pa.array(total),
                         ],
                         ["_block", "_row", "_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                     )
