@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN, INF = F.lit(float("nan")), F.lit(float("inf"))
+
+
+def nan() -> Column:
+    return F.lit(float("nan"))
+
+
+def inf() -> Column:
+    return F.lit(float("inf"))
 
 
 def col(c: Column | str) -> Column:
@@ -15,7 +22,7 @@ def col(c: Column | str) -> Column:
 def is_valid(c: Column | str) -> Column:
     """Neither NaN nor infinite; NULL is not valid."""
     c = col(c)
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < INF)
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < inf())
 
 
 def valid_or(c: Column | str, other: float = 0.0) -> Column:
@@ -25,13 +32,13 @@ def valid_or(c: Column | str, other: float = 0.0) -> Column:
 def div(a: Column | str, b: Column | str) -> Column:
     """a / b with x/0 = +-Inf and 0/0 = NaN; the sign of a zero divisor is ignored."""
     a, b = col(a).cast("double"), col(b).cast("double")
-    return F.when(b == 0, F.when((a == 0) | F.isnan(a), NAN).when(a > 0, INF).otherwise(-INF)).otherwise(a / b)
+    return F.when(b == 0, F.when((a == 0) | F.isnan(a), nan()).when(a > 0, inf()).otherwise(-inf())).otherwise(a / b)
 
 
 def log(c: Column | str) -> Column:
     """Natural logarithm with log 0 = -Inf and NaN below."""
     c = col(c).cast("double")
-    return F.when(F.isnan(c) | (c < 0), NAN).when(c == 0, -INF).otherwise(F.log(c))
+    return F.when(F.isnan(c) | (c < 0), nan()).when(c == 0, -inf()).otherwise(F.log(c))
 
 
 def at_most(c: Column | str, top: float) -> Column:

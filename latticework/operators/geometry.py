@@ -80,8 +80,8 @@ def hit_box(low: list[Column], high: list[Column]) -> tuple[Column, Column]:
     for o, d, lo, hi in zip(_O, _D, low, high, strict=True):
         a, b = ieee.div(lo - F.col(o), F.col(d)), ieee.div(hi - F.col(o), F.col(d))
         inside = F.col(o).between(lo, hi)
-        near.append(F.when(F.col(d) == 0, F.when(inside, -ieee.INF).otherwise(ieee.INF)).otherwise(F.least(a, b)))
-        far.append(F.when(F.col(d) == 0, F.when(inside, ieee.INF).otherwise(-ieee.INF)).otherwise(F.greatest(a, b)))
+        near.append(F.when(F.col(d) == 0, F.when(inside, -ieee.inf()).otherwise(ieee.inf())).otherwise(F.least(a, b)))
+        far.append(F.when(F.col(d) == 0, F.when(inside, ieee.inf()).otherwise(-ieee.inf())).otherwise(F.greatest(a, b)))
     n, f = F.greatest(*near), F.least(*far)
     return F.when(n <= f, n), F.when(n <= f, f)
 
@@ -115,12 +115,12 @@ def hit_cylinder(x0: Column, y0: Column, radius: Column, low: Column, high: Colu
     a = dx * dx + dy * dy
     c = ox * ox + oy * oy - radius * radius
     n, f = _quadratic(a, 2 * (ox * dx + oy * dy), c)
-    n = F.when(a == 0, F.when(c <= 0, -ieee.INF)).otherwise(n)
-    f = F.when(a == 0, F.when(c <= 0, ieee.INF)).otherwise(f)
+    n = F.when(a == 0, F.when(c <= 0, -ieee.inf())).otherwise(n)
+    f = F.when(a == 0, F.when(c <= 0, ieee.inf())).otherwise(f)
     z0, z1 = ieee.div(low - F.col("oz"), F.col("dz")), ieee.div(high - F.col("oz"), F.col("dz"))
     level, inside = F.col("dz") == 0, F.col("oz").between(low, high)
-    zn = F.when(level, F.when(inside, -ieee.INF).otherwise(ieee.INF)).otherwise(F.least(z0, z1))
-    zf = F.when(level, F.when(inside, ieee.INF).otherwise(-ieee.INF)).otherwise(F.greatest(z0, z1))
+    zn = F.when(level, F.when(inside, -ieee.inf()).otherwise(ieee.inf())).otherwise(F.least(z0, z1))
+    zf = F.when(level, F.when(inside, ieee.inf()).otherwise(-ieee.inf())).otherwise(F.greatest(z0, z1))
     near, far = F.greatest(n, zn), F.least(f, zf)
     ok = n.isNotNull() & (near <= far)
     return F.when(ok, near), F.when(ok, far)

@@ -311,7 +311,7 @@ def distance_transform(grid: DataFrame, points: DataFrame, cell: int = 16) -> Da
     if len(found) > MOST_POINTS:
         raise ValueError(f"more than {MOST_POINTS} points: tile the grid and pass the points near each tile")
     if not found:
-        return grid.withColumn("v", ieee.INF)
+        return grid.withColumn("v", ieee.inf())
     py, px = F.array(*[F.lit(y) for y, _ in found]), F.array(*[F.lit(x) for _, x in found])
     return grid.withColumn("v", F.array_min(F.zip_with(py, px, lambda a, b: F.hypot(F.col("y") - a, F.col("x") - b))))
 
