@@ -24,8 +24,8 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts, a score of 0.5 or more."""
     net = fit_quality(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
-    scored = score_quality(docs.withColumnRenamed("score", "_score"), net).filter("score >= 0.5").drop("score")
-    return scored.withColumnRenamed("_score", "score").select(*docs.columns)
+    score = "quality" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+    return score_quality(docs, net, name=score).filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,22 +135,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int =
     return ByteConvNet().fit([bytes(r["raw"]) for r in sample], np.array([float(r["_y"] > 0) for r in sample], np.float32))
 
 
-def score_quality(docs: DataFrame, net: ByteConvNet, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all by default) and score (0 to 1, higher is better; replaces a column of that name),
-    over whole texts.
+def score_quality(docs: DataFrame, net: ByteConvNet, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns `keep` of docs (all by default) and a score of that name (0 to 1, higher is better; replaces a column of
+    the same name), over whole texts.
 
     A null text counts as empty. Repeated rows and null ids are scored like any other; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    names = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    names = [c for c in (docs.columns if keep is None else keep) if c != name]
+    raw = "raw" + "_" * max((len(c) for c in names), default=0)  # longer than any other name
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    slim = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_raw"))
+    slim = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias(raw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
             scores = [model.score(t.as_py()) for t in b.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(scores, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(scores, pa.float64())], [*names, name])
 
-    return slim.mapInArrow(run, f"{schema}, score double")
+    return slim.mapInArrow(run, ", ".join(x for x in (schema, f"`{name}` double") if x))
