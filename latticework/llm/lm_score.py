@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,13 +59,15 @@ def keys_of(words: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> Iterator[
 
 
 def planes(a: np.ndarray) -> bytes:
-    """An array's bytes by significance: what is zero in all numbers compresses to nothing."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b""
+    """An array's bytes by significance, compressed: what is zero in all numbers takes no room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).data) if len(a) else b""
 
 
 def from_planes(raw: bytes | pa.Buffer, kind: str) -> np.ndarray:
-    flat = np.frombuffer(raw, np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() if len(flat) else np.zeros(0, kind)
+    if not len(raw):
+        return np.zeros(0, kind)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def probes(keys: np.ndarray, level: int, bits: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
