@@ -15,7 +15,7 @@ from latticework.llm.common import crc_mod, stored, table, without
 from latticework.llm.decontaminate import find_leaks
 from latticework.llm.line_dedup import line_dedup
 from latticework.llm.quality import fit_quality, score_quality
-from latticework.llm.simhash import simhash_dedup
+from latticework.llm.simhash import near_duplicates as near_groups
 
 #: SQL can express neither the classifier nor the latent space nor the merges.
 ORACLE_SQL = None
@@ -34,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    dropped = simhash_dedup(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    """Of each group of near-duplicates, similar to 0.8 on shingles of five words, the document with the smallest id."""
+    dropped = near_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return without(docs, dropped, "doc_id")
 
 

@@ -149,3 +149,39 @@ def test_thresholds_sum_up(spark):
         assert sorted(b for g in groups for b in g) == list(range(64))
         for n in (10**3, 10**6, 10**9):
             assert sum(simhash.allocate(n, both, groups, 2)[1]) == 2 - m + 1
+
+
+def similarity(a, b, words=5):
+    def parts(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} - {()}
+
+    x, y = parts(a), parts(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_duplicates(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+
+    def edited(t, n):
+        w = t.split()
+        for k in rng.choice(len(w), n, replace=False):
+            w[k] = str(rng.choice(vocabulary))
+        return " ".join(w)
+
+    docs = [(i, text(300)) for i in range(60)]
+    docs += [(100 + i, edited(docs[i][1], 1)) for i in range(30)]  # a similarity of about 0.97
+    docs += [(200 + i, docs[i][1]) for i in range(20)]
+    docs += [(300 + i, edited(docs[59][1], 1)) for i in range(40)]  # many copies of one
+    docs += [(400 + i, " ".join(docs[i][1].split()[:150]) + " " + text(150)) for i in range(20)]  # half the same
+    docs += [(500, None), (501, ""), (502, "a b"), (503, "A b"), (None, "a b"), (504, "one two three four five six")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, _rep int, component_id string")
+    rows = simhash.near_duplicates(df).collect()
+    assert len(rows) == len(docs)
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    assert all(got[200 + i] == got[i] == i for i in range(20)) and got[501] == 500 and got[503] == got[None] == 502 and got[504] == 504
+    assert sum(got[100 + i] == i for i in range(30)) >= 28 and sum(got[300 + i] == 59 for i in range(40)) >= 37
+    assert all(got[400 + i] == 400 + i for i in range(20))
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
