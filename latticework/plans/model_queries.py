@@ -292,7 +292,7 @@ def inverse(spark, sf_dir):
     return rounded(out.select("id", *[F.col("m")[i][j].alias(f"i{i}{j}") for i in (0, 1) for j in (0, 1)]), "i00", "i01", "i10", "i11")
 
 
-@q(f"WITH {P3} SELECT id, 0.0 AS error FROM p3")
+@q(f"WITH {P3} SELECT id, 0.0::DOUBLE AS error FROM p3")
 def svd_reconstruct(spark, sf_dir):
     """The Frobenius norm against the singular values', and R Q and Q R against the matrix: no difference to six digits."""
     m = F.array(F.array("x", "y", "z"), F.array("a", "b", "c"), F.array(F.col("x") + F.col("b"), F.col("y"), F.col("z") + 50))
@@ -624,7 +624,7 @@ def morton_code(spark, sf_dir):
 _KNOTS = [0.0, 0.0, 0.0, 0.0, 0.5, 1.0, 1.0, 1.0, 1.0]
 
 
-@q(f"WITH {A} SELECT x, 1.0 AS total FROM a WHERE y = (SELECT min(y) FROM a)")
+@q(f"WITH {A} SELECT x, 1.0::DOUBLE AS total FROM a WHERE y = (SELECT min(y) FROM a)")
 def bspline_partition_of_unity(spark, sf_dir):
     t = spark.range(WIDTH).select(F.col("id").cast("int").alias("x"), (F.col("id") / 63.0).alias("t"))
     return rounded(t.select("x", sum((geometry.bspline_basis(i, 3, _KNOTS, F.col("t")) for i in range(5)), F.lit(0.0)).alias("total")), "total")

@@ -248,7 +248,7 @@ def planar_motion(spark, sf_dir):
     return rounded(grid_a(spark, sf_dir).select("y", "x", m["x"].alias("px"), m["z"].alias("pz")), "px", "pz")
 
 
-@q("SELECT vec_id AS id, 0.25 AS v FROM embeddings")
+@q("SELECT vec_id AS id, 0.25::DOUBLE AS v FROM embeddings")
 def uniform_spline_of_a_constant(spark, sf_dir):
     """A spline through equal control values is constant."""
     t = F.abs(F.get("embedding", F.lit(0)).cast("double")) % 1
