@@ -144,16 +144,6 @@ class Passages:
         if len(pairs):
             self.value = (self.value / np.repeat(np.sqrt(np.add.reduceat(self.value**2, self.begin)), np.diff(np.append(self.begin, len(pairs))))).astype(np.float32)
 
-    def keep(self, best: np.ndarray, least: float) -> None:
-        """Leave only the windows whose values times the terms' numbers in `best` add up to `least`."""
-        if not len(self.term):
-            return
-        ok = np.add.reduceat(self.value * best[self.term], self.begin) >= least
-        sizes = np.diff(np.append(self.begin, len(self.term)))
-        pairs = np.repeat(ok, sizes)
-        self.window, self.term, self.value, self.which = self.window[pairs], self.term[pairs], self.value[pairs], self.which[ok]
-        self.begin = np.cumsum(sizes[ok]) - sizes[ok]
-
     def times(self, right: np.ndarray) -> np.ndarray:
         """The rows of windows that have a term, times a matrix with a row for each term."""
         if not len(self.term):
@@ -271,36 +261,49 @@ def latent_space(ids: DataFrame, items: Items, weight: np.ndarray, rank: int = R
     return (q @ vector[:, best]).astype(np.float32), np.sqrt(np.maximum(value[best], 0))
 
 
-def latent_items(items: Items, weight: np.ndarray, directions: np.ndarray, singular: np.ndarray) -> np.ndarray:
-    """(term x item): what a passage's TF-IDF vector is multiplied with for its cosine to each item in the latent space.
+class LatentItems:
+    """What turns passages into cosines to the items in the latent space.
 
-    The space is spanned by the corpus' directions and the items. Along a direction with singular value s, coordinates are
-    scaled by the least singular value over s; what the items add keeps its scale.
+    The space is spanned by the corpus' directions d and the items. Along a direction with singular value s, coordinates are
+    scaled by the least singular value over s; what the items add keeps its scale. For an orthonormal basis B and scales L,
+    B L^2 B' v = v - d (1 - scale^2) d'v: the item itself, sparse, less a part of low rank.
     """
-    vectors = _item_vectors(items, weight).astype(np.float64)
-    d = directions.astype(np.float64)
-    scale = np.where(singular > 0, singular.min(initial=np.inf, where=singular > 0) / np.maximum(singular, 1e-12), 1.0) if len(singular) else np.zeros(0)
-    within = vectors @ d
-    # B L^2 B' v for the orthonormal basis B = [d, rest]: damped along d, whole in what is left of v
-    damped = (within * scale**2) @ d.T + (vectors - within @ d.T)
-    length = np.sqrt(np.maximum((within**2 * scale**2).sum(axis=1) + ((vectors - within @ d.T) ** 2).sum(axis=1), 1e-12))
-    return (damped / length[:, None]).T.astype(np.float32)
-
 
-def search(ids: DataFrame, items: Items, weight: np.ndarray, latent: np.ndarray) -> DataFrame:
-    """(_id, _k, _cosine, _lcs, _answer) for each document and item that it leaks, once for each passage that does.
-
-    A passage whose terms, each at its best item, cannot add up to the least cosine is near no item and is left at that.
-    """
-    shared = ids.sparkSession.sparkContext.broadcast((items, weight, latent, np.maximum(latent.max(axis=1), 0)))
+    def __init__(self, items: Items, weight: np.ndarray, directions: np.ndarray, singular: np.ndarray):
+        vectors, d = _item_vectors(items, weight).astype(np.float64), directions.astype(np.float64)
+        scale = np.ones(len(singular))
+        if (singular > 0).any():
+            scale[singular > 0] = singular[singular > 0].min() / singular[singular > 0]
+        within = vectors @ d
+        length = np.sqrt(np.maximum((vectors**2).sum(axis=1) - (within**2 * (1 - scale**2)).sum(axis=1), 1e-12))
+        term, item = np.nonzero(vectors.T)
+        self.n = len(vectors)
+        self.start = np.searchsorted(term, np.arange(len(weight) + 1))
+        self.item, self.value = item, (vectors[item, term] / length[item]).astype(np.float32)
+        self.directions, self.damp = directions.astype(np.float32), (within * (1 - scale**2) / length[:, None]).T.astype(np.float32)
+
+    def cosines(self, p: Passages) -> np.ndarray:
+        """(passage x item), for the passages that have a term."""
+        if not len(p.term):
+            return np.zeros((0, self.n), np.float32)
+        row = np.repeat(np.arange(len(p.begin)), np.diff(np.append(p.begin, len(p.term))))
+        sizes = self.start[p.term + 1] - self.start[p.term]
+        at = np.repeat(self.start[p.term] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        key = np.repeat(row, sizes) * self.n + self.item[at]
+        own = np.bincount(key, np.repeat(p.value, sizes) * self.value[at], len(p.begin) * self.n).reshape(-1, self.n)
+        return own - p.times(self.directions) @ self.damp
+
+
+def search(ids: DataFrame, items: Items, weight: np.ndarray, latent: LatentItems) -> DataFrame:
+    """(_id, _k, _cosine, _lcs, _answer) for each document and item that it leaks, once for each passage that does."""
+    shared = ids.sparkSession.sparkContext.broadcast((items, weight, latent))
     kind = ids.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, w, right, best = shared.value
+        it, w, space = shared.value
         for keys, docs in _read(batches, it.dtype, 100_000):
             p = Passages(docs, w)
-            p.keep(best, COSINE * 0.999)
-            near = p.times(right)
+            near = space.cosines(p)
             rows, cols = np.nonzero(near >= COSINE)
             doc = np.searchsorted(p.first, p.which[rows], side="right") - 1
             out = []
@@ -336,7 +339,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         ids = stored(encoded(docs, items, id_col, text_col), "words")
         weight = weights(ids, items)
         directions, singular = latent_space(ids, items, weight)
-        hits = search(ids, items, weight, latent_items(items, weight, directions, singular))
+        hits = search(ids, items, weight, LatentItems(items, weight, directions, singular))
         best = hits.groupBy("_id", "_k").agg(F.max("_cosine").alias("cosine"), F.max("_lcs").alias("lcs"), F.max("_answer").alias("answer"))
         names = spark.createDataFrame(list(enumerate(items.names)), f"_k long, `{item_col}` {item_kind}")
         found = found.unionByName(best.join(F.broadcast(names), "_k").select(F.col("_id").alias(id_col), F.col(item_col), "cosine", "lcs", "answer"))
