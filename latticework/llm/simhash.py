@@ -260,7 +260,7 @@ def several_fingerprints(h: np.ndarray, n: int) -> list[int]:
 
 
 #: Fingerprints of a document for near_duplicates.
-SEVERAL = 16
+SEVERAL = 12
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, several: int = SEVERAL, tau: int = 2) -> DataFrame:
@@ -269,8 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     One fingerprint finds only very close copies, so each text has several, under different mixings; texts of which any
     two fingerprints of a kind are within tau bits are candidates, and a candidate counts if the sets of five-word shingles
     have the similarity (Jaccard). Nothing else is linked. Texts of fewer than five words are one shingle. Of buckets with
-    many members each is compared with the least, as in links(). With 16 fingerprints and two bits, texts of a similarity
-    of 0.98 are found almost surely, of 0.95 in about nine cases of ten, of 0.9 in about half.
+    many members each is compared with the least, as in links(). With 12 fingerprints and two bits, texts of a similarity
+    of 0.98 are found almost surely, of 0.95 in about five cases of six, of 0.9 in about two of five.
 
     Null texts count as empty; rows that repeat an id stay rows. Null ids are never a component_id unless a group has no
     other. Other columns are ignored; an empty table gives an empty one.
