@@ -158,3 +158,14 @@ def test_stages_keep_the_columns(spark):
             assert out.columns == docs.columns, name
             assert out.count() <= odd.count()
         assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == odd.count()
+
+
+def test_native_operators_plan_no_python(spark):
+    from latticework.llm.line_dedup import line_dedup
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    store = ShardStore(spark, shared_dir(spark))
+    store.append(docs)
+    for df in (line_dedup(docs), store.read()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExternalRDD")), plan
