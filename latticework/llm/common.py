@@ -38,7 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = tempfile.mkdtemp(prefix="latticework-")
         spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/latticework-{uuid.uuid4().hex}"
+    path = f"{found.rstrip('/')}/latticework-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+#: What this process has written to shared folders.
+_WRITTEN: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the intermediate tables of results that are no longer read; returns their number. Call it after results have
+    been written: results that are still lazy read these tables."""
+    gone = 0
+    for path in _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    _WRITTEN.clear()
+    return gone
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

@@ -169,3 +169,11 @@ def test_native_operators_plan_no_python(spark):
     for df in (line_dedup(docs), store.read()):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExternalRDD")), plan
+
+
+def test_sweep_deletes_what_was_written(spark):
+    from latticework.llm.common import stored, sweep
+
+    sweep(spark)
+    t = stored(spark.range(3))
+    assert t.count() == 3 and sweep(spark) == 1 and sweep(spark) == 0
