@@ -3,8 +3,8 @@
 Passages of documents and benchmark items are TF-IDF vectors over the words of the benchmark. A distributed randomised
 SVD of the passages gives the leading directions of the corpus and their singular values; the items are folded in, so
 that the latent space spans both, and a direction counts the less the more of the corpus lies along it. Passages near an
-item in that space are candidates; a longest common subsequence, a common run of words and a check of the item's answer
-decide.
+item in that space or in the undamped one are candidates; a longest common subsequence, a common run of words and a check
+of the item's answer decide.
 """
 
 from __future__ import annotations
@@ -281,9 +281,12 @@ class LatentItems:
         self.start = np.searchsorted(term, np.arange(len(weight) + 1))
         self.item, self.value = item, (vectors[item, term] / length[item]).astype(np.float32)
         self.directions, self.damp = directions.astype(np.float32), (within * (1 - scale**2) / length[:, None]).T.astype(np.float32)
+        self.length, self.lost = length.astype(np.float32), (1 - scale**2).astype(np.float32)
 
     def cosines(self, p: Passages) -> np.ndarray:
-        """(passage x item), for the passages that have a term."""
+        """(passage x item), for the passages that have a term: the larger of the cosine in the latent space, where both
+        sides have their damped length, and of the undamped one. What repeats all over the corpus is a leading direction
+        itself; damped, it hardly counts beside the other words of a passage, undamped it does."""
         if not len(p.term):
             return np.zeros((0, self.n), np.float32)
         row = np.repeat(np.arange(len(p.begin)), np.diff(np.append(p.begin, len(p.term))))
@@ -291,7 +294,9 @@ class LatentItems:
         at = np.repeat(self.start[p.term] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         key = np.repeat(row, sizes) * self.n + self.item[at]
         own = np.bincount(key, np.repeat(p.value, sizes) * self.value[at], len(p.begin) * self.n).reshape(-1, self.n)
-        return own - p.times(self.directions) @ self.damp
+        along = p.times(self.directions)
+        left = np.sqrt(np.maximum(1 - (along**2) @ self.lost, 1e-6))
+        return np.minimum(np.maximum((own - along @ self.damp) / left[:, None], own * self.length), 1.0)
 
 
 def search(ids: DataFrame, items: Items, weight: np.ndarray, latent: LatentItems) -> DataFrame:

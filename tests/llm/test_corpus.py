@@ -177,3 +177,14 @@ def test_sweep_deletes_what_was_written(spark):
     sweep(spark)
     t = stored(spark.range(3))
     assert t.count() == 3 and sweep(spark) == 1 and sweep(spark) == 0
+
+
+def test_an_item_in_a_third_of_the_rows_is_found(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(2000)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(k, text(30)) for k in range(60)]
+    docs = [(i, f"{text(90)} {items[0][1] if i % 3 == 0 else text(30)} {text(90)}") for i in range(600)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(df, bench).collect()}
+    assert got == {(i, 0) for i in range(0, 600, 3)}
