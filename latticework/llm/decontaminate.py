@@ -3,15 +3,14 @@
 Passages of documents and benchmark items are TF-IDF vectors over the words of the benchmark. A distributed randomised
 SVD of the passages gives the leading directions of the corpus and their singular values; the items are folded in, so
 that the latent space spans both, and a direction counts the less the more of the corpus lies along it. Passages near an
-item in that space or in the undamped one are candidates; a longest common subsequence, a common run of words and a check
-of the item's answer decide.
+item, or near a passage of a long item, in that space or in the undamped one are candidates, and so is every run of words
+that an item holds; a longest common subsequence, a common run of words and a check of the item's answer decide.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,8 @@ STEP = 16
 RANK, OVERSAMPLE = 16, 8
 #: Items that are searched for at once; more come in further blocks, each over all documents.
 BLOCK = 256
+#: Words of the items of a block, but for one that is longer by itself.
+BLOCK_WORDS = 50_000
 #: Terms in a larger share of all steps weigh nothing, but for items that would have fewer than LEAST_TERMS left.
 COMMON, LEAST_TERMS = 0.01, 5
 #: A candidate's least cosine. A leak shares LCS of an item's words in order, or RUN words in a row; a paraphrase shares
@@ -34,6 +35,9 @@ COSINE, LCS, RUN, NEAR, PARAPHRASE, ANSWER = 0.3, 0.8, 13, 0.5, 0.6, 0.8
 #: Items of fewer words must stand in a document word by word.
 SHORT = 8
 
+#: Cosines that are held at once, of passages to vectors of items.
+CELLS = 2_000_000
+
 _WORD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -52,6 +56,21 @@ def lcs_length(masks: dict[int, int], n: int, other: list[int]) -> int:
     return n - v.bit_count()
 
 
+def run_hashes(ids: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """The hashes of all runs of 1, 2, .. `length` words, by their starts."""
+    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    h = np.zeros(len(x) + 1, np.uint64)
+    for n in range(1, min(length, len(x)) + 1):
+        h = h[:-1] * np.uint64(0xBF58476D1CE4E5B9) + x[n - 1 :]
+        yield h
+
+
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, .. of each range, one range after the other."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class Items:
     """A block of benchmark items in the vocabulary of its words."""
 
@@ -70,6 +89,32 @@ class Items:
             self.runs.append((n, {tuple(ids[k : k + n]) for k in range(len(ids) - n + 1)}))
             last = [p for p in re.split(r"[.!?\n]+", text or "") if words(p)][-1]
             self.answers.append({self.vocab[w] for w in words(last)})
+        # what passages are compared with: each item whole, and the passages of those that are longer than one
+        self.parts, self.owner = [], []
+        for k, ids in enumerate(self.ids):
+            n = len(ids) - 2 * STEP
+            cut = [ids] + [ids[at : at + 2 * STEP] for at in (*range(0, n, STEP), n) if n > 0]
+            self.parts += cut
+            self.owner += [k] * len(cut)
+        self.hashes = {}
+        for length in {n for n, _ in self.runs}:
+            found = [(h, k) for k, (n, _) in enumerate(self.runs) if n == length for h in set(list(run_hashes(np.array(self.ids[k]), n))[-1].tolist())]
+            found.sort()
+            self.hashes[length] = np.array([h for h, _ in found], np.uint64), np.array([k for _, k in found], np.int64)
+
+    def common_runs(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, item) of the runs of a document that seem to be the items' own; hashes may collide, verdict() decides."""
+        starts, found = [], []
+        known = np.concatenate([[0], np.cumsum(doc != self.unknown)])
+        for n, h in enumerate(run_hashes(doc, max(self.hashes)), 1):
+            if n not in self.hashes:
+                continue
+            at = np.flatnonzero(known[n:] - known[:-n] == n)
+            keys, item = self.hashes[n]
+            lo, hi = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], side="right")
+            starts.append(np.repeat(at, hi - lo))
+            found.append(item[_spread(lo, hi - lo)])
+        return (np.concatenate(starts), np.concatenate(found)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     @property
     def dtype(self) -> str:
@@ -92,12 +137,19 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int = BLOCK) -> Iterator[Items]:
-    """Blocks of items by id; the driver holds one at a time. Items without words find nothing."""
+    """Blocks of items by id, of fewer than `size` if they are long; the driver holds one at a time. Items without words find
+    nothing."""
     rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).orderBy("i", "t").toLocalIterator()
-    while part := list(islice(rows, size)):
-        items = Items([(r["i"], r["t"]) for r in part])
-        if items.names:
-            yield items
+    part, n = [], 0
+    for r in rows:
+        part.append((r["i"], r["t"]))
+        n += len(words(r["t"]))
+        if len(part) == size or n >= BLOCK_WORDS:
+            if n:
+                yield Items(part)
+            part, n = [], 0
+    if n:
+        yield Items(part)
 
 
 def encoded(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
@@ -201,17 +253,21 @@ def weights(ids: DataFrame, items: Items) -> np.ndarray:
     df = np.array([found[t][0] if t in found else 0.0 for t in range(v)])
     idf = np.log((1 + n) / (1 + df)) + 1
     out = np.where(df > COMMON * n, 0.0, idf)
-    for item in items.ids:
-        if len({t for t in item if out[t] > 0}) < LEAST_TERMS:
-            out[item] = idf[item]
+    for part in items.parts:
+        if len({t for t in part if out[t] > 0}) < LEAST_TERMS:
+            out[part] = idf[part]
     return out.astype(np.float32)
 
 
-def _item_vectors(items: Items, weight: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(items.ids), len(weight)), np.float32)
-    for k, ids in enumerate(items.ids):
-        x[k, ids] = weight[ids]
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+def _item_vectors(items: Items, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, part, value) of the items' parts as vectors of length 1, by term."""
+    terms = [np.unique(ids) for ids in items.parts]
+    values = [weight[t].astype(np.float64) for t in terms]
+    values = [x / max(np.linalg.norm(x), 1e-9) for x in values]
+    term, part, value = np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(values)
+    order = np.lexsort((part, term))
+    order = order[value[order] > 0]
+    return term[order], part[order], value[order]
 
 
 def latent_space(ids: DataFrame, items: Items, weight: np.ndarray, rank: int = RANK, oversample: int = OVERSAMPLE, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
@@ -270,33 +326,69 @@ class LatentItems:
     """
 
     def __init__(self, items: Items, weight: np.ndarray, directions: np.ndarray, singular: np.ndarray):
-        vectors, d = _item_vectors(items, weight).astype(np.float64), directions.astype(np.float64)
+        (term, part, value), d = _item_vectors(items, weight), directions.astype(np.float64)
         scale = np.ones(len(singular))
         if (singular > 0).any():
             scale[singular > 0] = singular[singular > 0].min() / singular[singular > 0]
-        within = vectors @ d
-        length = np.sqrt(np.maximum((vectors**2).sum(axis=1) - (within**2 * (1 - scale**2)).sum(axis=1), 1e-12))
-        term, item = np.nonzero(vectors.T)
-        self.n = len(vectors)
+        self.n = len(items.parts)
+        within = np.zeros((self.n, d.shape[1]))
+        for k in range(d.shape[1]):
+            within[:, k] = np.bincount(part, value * d[term, k], self.n)
+        length = np.sqrt(np.maximum(np.bincount(part, value**2, self.n) - (within**2 * (1 - scale**2)).sum(axis=1), 1e-12))
         self.start = np.searchsorted(term, np.arange(len(weight) + 1))
-        self.item, self.value = item, (vectors[item, term] / length[item]).astype(np.float32)
+        self.item, self.value = part, (value / length[part]).astype(np.float32)
         self.directions, self.damp = directions.astype(np.float32), (within * (1 - scale**2) / length[:, None]).T.astype(np.float32)
         self.length, self.lost = length.astype(np.float32), (1 - scale**2).astype(np.float32)
+        self.owners = np.flatnonzero(np.diff(items.owner, prepend=-1))
+
+    def blocks(self, p: Passages) -> Iterator[tuple[int, np.ndarray]]:
+        """The first passage and the cosines of each block of those that have a term."""
+        ends = np.append(p.begin, len(p.term))
+        step = max(1, CELLS // self.n)
+        for lo in range(0, len(p.begin), step):
+            part = Passages.__new__(Passages)
+            hi = min(lo + step, len(p.begin))
+            part.begin = p.begin[lo:hi] - p.begin[lo]
+            part.term, part.value = p.term[ends[lo] : ends[hi]], p.value[ends[lo] : ends[hi]]
+            yield lo, self.cosines(part)
 
     def cosines(self, p: Passages) -> np.ndarray:
-        """(passage x item), for the passages that have a term: the larger of the cosine in the latent space, where both
+        """(passage x item), the best over the item's own passages, for the passages that have a term: the larger of the cosine in the latent space, where both
         sides have their damped length, and of the undamped one. What repeats all over the corpus is a leading direction
         itself; damped, it hardly counts beside the other words of a passage, undamped it does."""
         if not len(p.term):
-            return np.zeros((0, self.n), np.float32)
+            return np.zeros((0, len(self.owners)), np.float32)
         row = np.repeat(np.arange(len(p.begin)), np.diff(np.append(p.begin, len(p.term))))
         sizes = self.start[p.term + 1] - self.start[p.term]
-        at = np.repeat(self.start[p.term] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        at = _spread(self.start[p.term], sizes)
         key = np.repeat(row, sizes) * self.n + self.item[at]
         own = np.bincount(key, np.repeat(p.value, sizes) * self.value[at], len(p.begin) * self.n).reshape(-1, self.n)
         along = p.times(self.directions)
         left = np.sqrt(np.maximum(1 - (along**2) @ self.lost, 1e-6))
-        return np.minimum(np.maximum((own - along @ self.damp) / left[:, None], own * self.length), 1.0)
+        best = np.minimum(np.maximum((own - along @ self.damp) / left[:, None], own * self.length), 1.0)
+        return best if len(self.owners) == self.n else np.maximum.reduceat(best, self.owners, axis=1)
+
+
+def candidates(items: Items, space: LatentItems, p: Passages, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, item, cosine) of the passages near an item and of those, whatever their cosine, that start a common run."""
+    n = len(items.ids)
+    runs = [(p.first[d] + at // STEP) * n + k for d, x in enumerate(docs) for at, k in [items.common_runs(x)] if len(at)]
+    runs = np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.int64)
+    keys, cosines = [], []
+    for lo, near in space.blocks(p):
+        which = p.which[lo : lo + len(near)]
+        rows, cols = np.nonzero(near >= COSINE)
+        keys.append(which[rows] * n + cols)
+        cosines.append(near[rows, cols])
+        row = np.minimum(np.searchsorted(which, runs // n), len(which) - 1)
+        own = runs[which[row] == runs // n]
+        row = row[which[row] == runs // n]
+        keys.append(own)
+        cosines.append(near[row, own % n])
+    keys.append(runs)  # those of which no word weighs anything
+    cosines.append(np.zeros(len(runs)))
+    key, first = np.unique(np.concatenate(keys), return_index=True)
+    return key // n, key % n, np.concatenate(cosines)[first].astype(np.float64)
 
 
 def search(ids: DataFrame, items: Items, weight: np.ndarray, latent: LatentItems) -> DataFrame:
@@ -308,17 +400,16 @@ def search(ids: DataFrame, items: Items, weight: np.ndarray, latent: LatentItems
         it, w, space = shared.value
         for keys, docs in _read(batches, it.dtype, 100_000):
             p = Passages(docs, w)
-            near = space.cosines(p)
-            rows, cols = np.nonzero(near >= COSINE)
-            doc = np.searchsorted(p.first, p.which[rows], side="right") - 1
+            hits = candidates(it, space, p, docs)
+            doc = np.searchsorted(p.first, hits[0], side="right") - 1
             out = []
-            for r, k, d in zip(rows.tolist(), cols.tolist(), doc.tolist(), strict=True):
+            for window, k, cosine, d in zip(*(x.tolist() for x in hits), doc.tolist(), strict=True):
                 n = len(it.ids[k])
-                at = int(p.which[r] - p.first[d]) * STEP
+                at = int(window - p.first[d]) * STEP
                 region = docs[d][max(0, at - n) : at + 2 * STEP + n].tolist()
-                leak, share, answer = it.verdict(k, region, float(near[r, k]))
+                leak, share, answer = it.verdict(k, region, cosine)
                 if leak:
-                    out.append((keys[d], k, float(near[r, k]), share, answer))
+                    out.append((keys[d], k, cosine, share, answer))
             if out:
                 cols_ = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols_[0], b_type), *map(pa.array, cols_[1:])], ["_id", "_k", "_cosine", "_lcs", "_answer"])

@@ -188,3 +188,22 @@ def test_an_item_in_a_third_of_the_rows_is_found(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in find_leaks(df, bench).collect()}
     assert got == {(i, 0) for i in range(0, 600, 3)}
+
+
+def test_long_items_are_found(spark):
+    rng = np.random.default_rng(13)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(5000)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(k, text(n)) for k, n in enumerate([100] * 5 + [500] * 5)]
+    docs = [(i, text(300)) for i in range(60)]
+
+    def changed(x):  # no run of 13 words is left
+        w = x.split()
+        w[4::7] = rng.choice(vocabulary, len(w[4::7])).tolist()
+        return " ".join(w)
+
+    for k, x in items:
+        docs += [(100 + k, f"{text(150)} {x} {text(150)}"), (200 + k, f"{text(150)} {changed(x)} {text(150)}"), (300 + k, f"{text(150)} {' '.join(x.split()[20:40])} {text(150)}")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(df, bench).collect()}
+    assert got == {(100 * j + k, k) for j in (1, 2, 3) for k, _ in items}
