@@ -261,41 +261,68 @@ def several_fingerprints(h: np.ndarray, n: int) -> list[int]:
 
 #: Fingerprints of a document for near_duplicates.
 SEVERAL = 12
+#: Texts that are looked at for shingles that many of them have, and the most such shingles (16 bytes each, broadcast).
+SAMPLE, COMMON_SHINGLES = 20_000, 200_000
+#: Members of a bucket that are paired with all its members by one salt; there are at most MOST_SALTS.
+SALT_ROWS, MOST_SALTS = 64, 64
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, several: int = SEVERAL, tau: int = 2) -> DataFrame:
-    """(id, component_id) of every row: texts that are the same or similar share the smallest id of their group.
-
-    One fingerprint finds only very close copies, so each text has several, under different mixings; texts of which any
-    two fingerprints of a kind are within tau bits are candidates, and a candidate counts if the sets of five-word shingles
-    have the similarity (Jaccard). Nothing else is linked. Texts of fewer than five words are one shingle. Of buckets with
-    many members each is compared with the least, as in links(). With 12 fingerprints and two bits, texts of a similarity
-    of 0.98 are found almost surely, of 0.95 in about five cases of six, of 0.9 in about two of five.
-
-    Null texts count as empty; rows that repeat an id stay rows. Null ids are never a component_id unless a group has no
-    other. Other columns are ignored; an empty table gives an empty one.
-    """
+def common_shingles(slim: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of texts have, ascending, and how many have them. It only sets an order: whatever
+    it is, no pair is lost."""
+    share = slim.count() // SAMPLE + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raws = [t.as_py() or b"" for t in b.column(1)]
-            keys = [xxhash.xxh3_128_hexdigest(r) for r in raws]
-            prints = [several_fingerprints(shingles(r, words), several) for r in raws]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array(prints, pa.list_(pa.int64()))], ["_id", "_key", "_fps"])
-
-    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_raw"))
-    rows = stored(slim.mapInArrow(run, "_id long, _key string, _fps array<long>"), "fingerprints")
-    texts = stored(rows.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), F.first("_fps").alias("_fps")), "texts")
-    each = texts.filter("_rep is not null").select("_rep", F.posexplode("_fps").alias("_s", "_fp"))
-    nodes = stored(each.groupBy("_s", "_fp").agg(F.min("_rep").alias("_least"), F.count("*").alias("_w")), "nodes")
-    met = links(nodes.select("_s", "_fp"), tau, kind="_s")
-    left, right = nodes.select("_s", F.col("_fp").alias("u"), F.col("_least").alias("_a")), nodes.select("_s", F.col("_fp").alias("v"), F.col("_least").alias("_b"))
-    across = met.join(left, ["_s", "u"]).join(right, ["_s", "v"]).select("_a", "_b")
-    shared = nodes.filter("_w > 1")
-    total = shared.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
-    within = hot_join(each, shared, ["_s", "_fp"], "_rep", "_w", total, "inner").select(F.col("_least").alias("_a"), F.col("_rep").alias("_b"))
-    pairs = across.unionAll(within).filter("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-    pairs = stored(pairs, "pairs")
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t.as_py(), words)).view(np.int64))], ["s"])
+
+    some = slim.filter(F.pmod(F.xxhash64("_raw"), F.lit(share)) == 0).select("_raw").mapInArrow(run, "s long")
+    top = some.groupBy("s").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).collect()
+    found = sorted((r["s"] % (1 << 64), r["n"]) for r in top)
+    return np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def prefix(x: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The first of a text's different shingles in an order that holds for all texts, common ones last, and how many are
+    left. Two texts with the similarity have at least one of these in common. Without shingles: 0."""
+    if not len(x):
+        return np.zeros(1, np.uint64), 0
+    keys, count = common
+    often = np.zeros(len(x), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        often = np.where(keys[at] == x, count[at], 0)
+    rest = int(np.ceil(similarity * len(x) - 1e-9)) - 1
+    return x[np.lexsort((x, often))[: len(x) - rest]], rest
+
+
+def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """(_a, _b): all pairs of texts(_rep, root, _size, _rest, _prefix) of different roots that can have the similarity.
+
+    They meet in a shingle of both prefixes. The prefixes hold all shingles of both texts up to where the first of them
+    ends, so beyond those they share at most what that text has left; pairs that cannot reach the similarity go. All
+    pairs of a bucket are tested, in salted blocks; buckets of one root hold none.
+    """
+    probes = texts.select("_rep", "root", "_size", "_rest", F.explode("_prefix").alias("_tok"))
+    sizes = probes.groupBy("_tok").agg(F.count("*").alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("_tok", "_n")
+    sizes = stored(sizes, "buckets")
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    met = hot_join(probes, sizes, ["_tok"], "_rep", "_n", total, "inner").withColumn("_blocks", F.least(F.lit(MOST_SALTS), F.ceil(F.col("_n") / SALT_ROWS)).cast("int"))
+    met = stored(met, "met")
+    side = lambda x, salt: met.select("_tok", salt.alias("_salt"), *[F.col(c).alias(c + x) for c in ("_rep", "root", "_size", "_rest")])
+    left = side("_a", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
+    right = side("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    small, large = F.least("_size_a", "_size_b"), F.greatest("_size_a", "_size_b")
+    both = left.join(right, ["_tok", "_salt"]).filter((F.col("_rep_a") < F.col("_rep_b")) & (F.col("root_a") != F.col("root_b")) & (small >= similarity * large - 1e-9))
+    pairs = both.groupBy(F.col("_rep_a").alias("_a"), F.col("_rep_b").alias("_b")).agg(
+        F.count("*").alias("_c"), F.first(F.col("_size_a") + F.col("_size_b")).alias("_sum"), F.first(F.greatest("_rest_a", "_rest_b")).alias("_most")
+    )
+    return pairs.filter(F.col("_c") + F.col("_most") >= similarity / (1 + similarity) * F.col("_sum") - 1e-6).select("_a", "_b")
+
+
+def _similar(pairs: DataFrame, slim: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): the pairs (_a, _b) of representatives whose sets of shingles have the similarity."""
     ends = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).groupBy("_id").agg(F.count("*").alias("_deg"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +350,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     one = hot_join(pairs.withColumnRenamed("_a", "_id"), held, ["_id"], "_b", "_deg", total, "inner").select(F.col("_id").alias("_a"), F.col("_b").alias("_id"), F.col("_set").alias("_x"))
     both = hot_join(one, held, ["_id"], "_a", "_deg", total, "inner").select("_a", F.col("_id").alias("_b"), "_x", F.col("_set").alias("_y"))
-    found = components(both.mapInArrow(near, "u long, v long"))
+    return both.mapInArrow(near, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, several: int = SEVERAL, tau: int = 2) -> DataFrame:
+    """(id, component_id) of every row: texts that are the same or similar share the smallest id of their group.
+
+    Two texts are linked if their sets of five-word shingles have the similarity (Jaccard), and all that have it are in one
+    group. Texts of fewer than five words are one shingle. First come the close copies, which may be many: each text has
+    several fingerprints under different mixings, and texts of which any two of a kind are within tau bits are candidates;
+    of those that share a fingerprint each is compared with the least, as in links(). That finds most copies but not all.
+    So all pairs that are not in a group yet and share a shingle of their prefixes are candidates too, see prefix_pairs().
+
+    Null texts count as empty; rows that repeat an id stay rows. Null ids are never a component_id unless a group has no
+    other. Other columns are ignored; an empty table gives an empty one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raws = [t.as_py() or b"" for t in b.column(1)]
+            keys = [xxhash.xxh3_128_hexdigest(r) for r in raws]
+            prints, sizes, rests, prefixes = [], [], [], []
+            for r in raws:
+                h = shingles(r, words)
+                prints.append(several_fingerprints(h, several))
+                x = np.unique(h)
+                first, rest = prefix(x, similarity, common.value)
+                sizes.append(len(x))
+                rests.append(rest)
+                prefixes.append(first.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(keys), pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(rests, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["_id", "_key", "_fps", "_size", "_rest", "_prefix"],
+            )
+
+    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_raw"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(slim, words))
+    rows = stored(slim.mapInArrow(run, "_id long, _key string, _fps array<long>, _size long, _rest long, _prefix array<long>"), "fingerprints")
+    texts = stored(rows.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("_fps", "_size", "_rest", "_prefix")]), "texts")
+    each = texts.filter("_rep is not null").select("_rep", F.posexplode("_fps").alias("_s", "_fp"))
+    nodes = stored(each.groupBy("_s", "_fp").agg(F.min("_rep").alias("_least"), F.count("*").alias("_w")), "nodes")
+    met = links(nodes.select("_s", "_fp"), tau, kind="_s")
+    left, right = nodes.select("_s", F.col("_fp").alias("u"), F.col("_least").alias("_a")), nodes.select("_s", F.col("_fp").alias("v"), F.col("_least").alias("_b"))
+    across = met.join(left, ["_s", "u"]).join(right, ["_s", "v"]).select("_a", "_b")
+    shared = nodes.filter("_w > 1")
+    total = shared.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
+    within = hot_join(each, shared, ["_s", "_fp"], "_rep", "_w", total, "inner").select(F.col("_least").alias("_a"), F.col("_rep").alias("_b"))
+    pairs = across.unionAll(within).filter("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
+    close = stored(_similar(stored(pairs, "pairs"), slim, rows, texts, words, similarity), "close")
+    grouped = texts.filter("_rep is not null").join(components(close).withColumnRenamed("u", "_rep"), "_rep", "left").withColumn("root", F.coalesce("root", "_rep"))
+    rest = stored(prefix_pairs(grouped, similarity), "pairs")
+    found = components(close.unionAll(_similar(rest, slim, rows, texts, words, similarity)))
     roots = texts.join(found.select(F.col("u").alias("_rep"), "root"), "_rep", "left").withColumn("root", F.coalesce("root", "_rep"))
     roots = stored(roots.select("_key", "_rep", "_n", "root"), "rooted")
     least = stored(roots.groupBy("root").agg(F.min("_rep").alias("component_id"), F.count("*").alias("_w")), "components")

@@ -185,3 +185,18 @@ def test_near_duplicates(spark):
     assert sum(got[100 + i] == i for i in range(30)) >= 28 and sum(got[300 + i] == 59 for i in range(40)) >= 37
     assert all(got[400 + i] == 400 + i for i in range(20))
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_are_complete(spark):
+    rng = np.random.default_rng(14)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    docs = [(i, " ".join(rng.choice(vocabulary, 40 + i * 5))) for i in range(60)]
+    for i in range(60):  # edits that leave similarities from 0.7 to 1
+        w = docs[i][1].split()
+        for k in rng.choice(len(w), int(rng.integers(1, max(2, len(w) // 30))), replace=False):
+            w[k] = str(rng.choice(vocabulary))
+        docs.append((100 + i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    alike = {100 + i: similarity(docs[i][1], docs[60 + i][1]) for i in range(60)}
+    assert sum(0.8 <= x < 0.9 for x in alike.values()) >= 10 and sum(x < 0.8 for x in alike.values()) >= 5
+    assert got == {i: i if i < 100 or alike[i] < 0.8 else i - 100 for i in got}
