@@ -200,3 +200,15 @@ def test_near_duplicates_are_complete(spark):
     alike = {100 + i: similarity(docs[i][1], docs[60 + i][1]) for i in range(60)}
     assert sum(0.8 <= x < 0.9 for x in alike.values()) >= 10 and sum(x < 0.8 for x in alike.values()) >= 5
     assert got == {i: i if i < 100 or alike[i] < 0.8 else i - 100 for i in got}
+
+
+def test_texts_with_equal_fingerprints_are_compared_with_each_other(spark):
+    rng = np.random.default_rng(15)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    sentence = " ".join([text(9)] * 60)
+    own = text(150).split()
+    docs = [(1, f"{sentence} {text(150)}"), (2, f"{sentence} {' '.join(own)}"), (3, f"{sentence} {' '.join([*own[:70], 'other', *own[71:]])}")]
+    assert similarity(docs[1][1], docs[2][1]) >= 0.9 > 0.1 > similarity(docs[0][1], docs[1][1])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
