@@ -25,8 +25,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null ids only keeps them all (keep_id null). Rows that repeat id and text both stay and both count. Other columns
     of the input are ignored, so their names cannot clash. An empty input gives an empty result.
 
-    Candidate groups are broadcast behind a check of their number; beyond it the same joins are shuffled, on slim
-    rows of lengths and hashes. Texts never enter a shuffle.
+    Candidate groups are broadcast behind a check of their number; beyond it lengths are joined
+    by a shuffle of slim rows, and the refinement by prefixes is dropped: every text is hashed in the scan, with the same
+    result. Texts never enter a shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
