@@ -65,13 +65,26 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_join(facts: DataFrame, dims: DataFrame, on: list[str], row_id: str, weight: str, total: int, how: str = "left") -> DataFrame:
+#: Slim rows (a few numbers each) that may be broadcast instead of a shuffle: some 64 bytes each in memory, so 16 MB.
+SMALL_ROWS = 250_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of slim rows, marked for a broadcast if its rows were counted and are few."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def hot_join(facts: DataFrame, dims: DataFrame, on: list[str], row_id: str, weight: str, how: str = "left", slim: bool = True) -> DataFrame:
     """Join many rows to one row a key where a key may hold a large share of all rows.
 
-    dims has one row a key and in `weight` the number of rows of facts with it. The keys with more than
-    total / HOT_SHARE rows, at most HOT_SHARE by arithmetic, are broadcast; rows with such a key are dealt over
-    SALTS salts taken from row_id, rows with a null key over all partitions. The rest is a plain shuffled join.
+    dims is a written table with one row a key and in `weight` the number of rows of facts with it. Up to SMALL_ROWS slim
+    rows of it are broadcast, which shuffles nothing. Beyond, the keys with more than one in HOT_SHARE of the rows, at most
+    HOT_SHARE by arithmetic, are broadcast; rows with such a key are dealt over SALTS salts taken from row_id, rows with a
+    null key over all partitions. The rest is a plain shuffled join.
     """
+    n, total = dims.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if slim and n <= SMALL_ROWS:
+        return facts.join(F.broadcast(dims), on, how)
     limit = max(1.0, total / HOT_SHARE)
     hot = dims.filter(F.col(weight) > limit).select(*on).withColumn("_hot", F.lit(True))
     spread = F.xxhash64(F.col(row_id))

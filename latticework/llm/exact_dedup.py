@@ -48,8 +48,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal = stored(
         rows.filter("_full is not null").groupBy("_len", "_full").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1"), "equal"
     )
-    total = equal.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    out = hot_join(rows, equal, ["_len", "_full"], "_id", "_n", total)
+    out = hot_join(rows, equal, ["_len", "_full"], "_id", "_n")
     return out.select(
         F.col("_id").alias(id_col),
         F.coalesce("_keep", "_id").alias("keep_id"),

@@ -36,8 +36,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_doc = long_lines.groupBy("_h1", "_h2", "_id").agg(F.count("*").alias("_rows"))
     counted = per_doc.groupBy("_h1", "_h2").agg(F.count("*").alias("_docs"), F.max("_id").alias("_keep"), F.sum("_rows").alias("_n"))
     repeated = stored(counted.filter(F.col("_docs") >= min_docs).select("_h1", "_h2", "_keep", "_n"), "repeated")
-    total = repeated.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    found = hot_join(long_lines, repeated, ["_h1", "_h2"], "_id", "_n", total, "inner").filter(~F.col("_id").eqNullSafe(F.col("_keep")))
+    found = hot_join(long_lines, repeated, ["_h1", "_h2"], "_id", "_n", "inner").filter(~F.col("_id").eqNullSafe(F.col("_keep")))
     dropped = found.groupBy("_id").agg(F.collect_set("_pos").alias("_drop"))
     whole = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_x_{c}") for c in extra])
     joined = whole.join(dropped, whole["_id"].eqNullSafe(dropped["_id"]), "left").drop(dropped["_id"])

@@ -16,10 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import hot_join, stored
+from latticework.llm.common import SMALL_ROWS, hot_join, small, stored
 
 BITS = 64
 SEED = 42
+#: Edges that one task joins: 16 bytes each.
+FEW_EDGES = 16_384
 #: Buckets with more probes than this are searched by midpoints, not by pairs.
 DENSE = 16
 
@@ -161,9 +163,8 @@ def links(nodes: DataFrame, tau: int = 2, dense: int = DENSE, kind: str | None =
     spans, on = tau % 2 == 0, [*own, "_p", "_key"]
     sizes = probes.groupBy(*on).agg(F.count("*").alias("_n"), F.count_if("_home").alias("_h"))
     large = stored(sizes.filter((F.col("_n") > dense) & (F.col("_h") > 0) & F.lit(spans)).select(*on, "_n"), "dense")
-    total = large.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    if total:
-        tagged = stored(hot_join(probes, large, on, "_fp", "_n", total), "probes")
+    if not large.isEmpty():
+        tagged = stored(hot_join(probes, large, on, "_fp", "_n"), "probes")
         small = tagged.filter("_n is null")
     else:
         tagged, small = None, probes
@@ -185,28 +186,54 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, root): every end of an edge and one end that stands for its component.
 
     Each round sends a node to the least of itself and its neighbours, in an order drawn anew for the round, and contracts
-    the edges; the number of nodes halves or better as expected. All tables stay distributed, rounds are written.
+    the edges; the number of nodes halves or better as expected. All tables stay distributed, rounds are written. What is
+    left is joined in one task when it has FEW_EDGES or fewer.
     """
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                a, c = top(u), top(v)
+                up[max(a, c)] = min(a, c)
+        yield pa.RecordBatch.from_arrays([pa.array(up, pa.int64()), pa.array([top(x) for x in up], pa.int64())], ["u", "to"])
+
     edges, rounds = stored(edges, "edges"), []
-    while not edges.isEmpty():
+    while n := edges.count():
+        if n <= FEW_EDGES:
+            rounds.append(stored(edges.select("u", "v").coalesce(1).mapInArrow(union, "u long, to long"), "round"))
+            break
         order = lambda c, k=len(rounds): F.struct(F.xxhash64(F.lit(k), F.col(c)), F.col(c).alias("v"))
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         to = stored(
             both.groupBy("u").agg(F.min(order("v")).alias("_near"), F.count("*").alias("_deg")).select("u", F.least("_near", order("u"))["v"].alias("to"), "_deg"), "round"
         )
-        total = to.agg(F.sum("_deg")).first()[0]
-        half = hot_join(edges, to, ["u"], "v", "_deg", total, "inner").select(F.col("v").alias("u"), F.col("to").alias("a"))
-        moved = hot_join(half, to, ["u"], "a", "_deg", total, "inner").select(F.least("a", "to").alias("u"), F.greatest("a", "to").alias("v"))
+        half = hot_join(edges, to, ["u"], "v", "_deg", "inner").select(F.col("v").alias("u"), F.col("to").alias("a"))
+        moved = hot_join(half, to, ["u"], "a", "_deg", "inner").select(F.least("a", "to").alias("u"), F.greatest("a", "to").alias("v"))
         edges = stored(moved.filter("u != v").distinct(), "edges")
         rounds.append(to.select("u", "to"))
     if not rounds:
         return edges.select("u", F.col("v").alias("root"))
     found = rounds[0].withColumnRenamed("to", "root")
     for to in rounds[1:]:
-        sizes = stored(found.groupBy("root").agg(F.count("*").alias("_w")).join(to.withColumnRenamed("u", "root"), "root"), "roots")
-        total = sizes.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
-        found = stored(hot_join(found, sizes, ["root"], "u", "_w", total).select("u", F.coalesce("to", "root").alias("root")), "found")
-    return found
+        step = to.withColumnRenamed("u", "root")
+        if step.count() <= SMALL_ROWS:
+            found = found.join(F.broadcast(step), "root", "left").select("u", F.coalesce("to", "root").alias("root"))
+            continue
+        sizes = stored(found.groupBy("root").agg(F.count("*").alias("_w")).join(step, "root"), "roots")
+        found = stored(hot_join(found, sizes, ["root"], "u", "_w", slim=False).select("u", F.coalesce("to", "root").alias("root")), "found")
+    return stored(found, "found")
+
+
+def rooted(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """nodes with the root of their component; a node without an edge is its own."""
+    return nodes.join(small(components(edges).withColumnRenamed("u", node)), node, "left").withColumn("root", F.coalesce("root", F.col(node)))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, tau: int = 2) -> DataFrame:
@@ -218,14 +245,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = stored(prints.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")), "nodes")
-    found = components(links(nodes, tau))
-    rooted = stored(nodes.join(found.withColumnRenamed("u", "_fp"), "_fp", "left").withColumn("root", F.coalesce("root", "_fp")), "rooted")
-    of_root = rooted.groupBy("root").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("group_size"), F.count("*").alias("_w"))
-    of_root = stored(of_root, "components")
-    total = of_root.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
-    classes = stored(hot_join(rooted, of_root, ["root"], "_fp", "_w", total, "inner").select("_fp", "_n", "component_id", "group_size"), "classes")
-    rows = classes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    out = hot_join(prints, classes, ["_fp"], "_id", "_n", rows, "inner")
+    of = stored(rooted(nodes, links(nodes, tau), "_fp"), "rooted")
+    of_root = stored(of.groupBy("root").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("group_size"), F.count("*").alias("_w")), "components")
+    classes = stored(hot_join(of, of_root, ["root"], "_fp", "_w", "inner").select("_fp", "_n", "component_id", "group_size"), "classes")
+    out = hot_join(prints, classes, ["_fp"], "_id", "_n", "inner")
     return out.select(F.col("_id").alias(id_col), F.col("_fp").alias("fp"), "component_id", "group_size")
 
 
@@ -238,177 +261,3 @@ def shingles(raw: bytes | None, words: int) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
     starts = [0, *ends[: len(w) - words].tolist()]
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
-
-
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-
-
-def several_fingerprints(h: np.ndarray, n: int) -> list[int]:
-    """n fingerprints of the same shingles under n mixings of their hashes, as signed numbers; 0 without shingles."""
-    ones = np.zeros((n, 8, 256), np.int64)
-    for at in range(0, len(h), 1 << 15):
-        part = h[at : at + (1 << 15)]
-        for k in range(n):
-            with np.errstate(over="ignore"):
-                x = (part ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                x ^= x >> np.uint64(32)
-            b = x.astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones[k] += np.bincount((b + np.arange(0, 2048, 256, dtype=np.uint16)).ravel(), minlength=2048).reshape(8, 256)
-    bits = 2 * (ones @ _BYTE_BITS).reshape(n, BITS) > len(h)
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel().tolist()
-
-
-#: Fingerprints of a document for near_duplicates.
-SEVERAL = 12
-#: Texts that are looked at for shingles that many of them have, and the most such shingles (16 bytes each, broadcast).
-SAMPLE, COMMON_SHINGLES = 20_000, 200_000
-#: Members of a bucket that are paired with all its members by one salt; there are at most MOST_SALTS.
-SALT_ROWS, MOST_SALTS = 64, 64
-
-
-def common_shingles(slim: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of a sample of texts have, ascending, and how many have them. It only sets an order: whatever
-    it is, no pair is lost."""
-    share = slim.count() // SAMPLE + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t.as_py(), words)).view(np.int64))], ["s"])
-
-    some = slim.filter(F.pmod(F.xxhash64("_raw"), F.lit(share)) == 0).select("_raw").mapInArrow(run, "s long")
-    top = some.groupBy("s").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).collect()
-    found = sorted((r["s"] % (1 << 64), r["n"]) for r in top)
-    return np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
-
-
-def prefix(x: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
-    """The first of a text's different shingles in an order that holds for all texts, common ones last, and how many are
-    left. Two texts with the similarity have at least one of these in common. Without shingles: 0."""
-    if not len(x):
-        return np.zeros(1, np.uint64), 0
-    keys, count = common
-    often = np.zeros(len(x), np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        often = np.where(keys[at] == x, count[at], 0)
-    rest = int(np.ceil(similarity * len(x) - 1e-9)) - 1
-    return x[np.lexsort((x, often))[: len(x) - rest]], rest
-
-
-def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
-    """(_a, _b): all pairs of texts(_rep, root, _size, _rest, _prefix) of different roots that can have the similarity.
-
-    They meet in a shingle of both prefixes. The prefixes hold all shingles of both texts up to where the first of them
-    ends, so beyond those they share at most what that text has left; pairs that cannot reach the similarity go. All
-    pairs of a bucket are tested, in salted blocks; buckets of one root hold none.
-    """
-    probes = texts.select("_rep", "root", "_size", "_rest", F.explode("_prefix").alias("_tok"))
-    sizes = probes.groupBy("_tok").agg(F.count("*").alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("_tok", "_n")
-    sizes = stored(sizes, "buckets")
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    met = hot_join(probes, sizes, ["_tok"], "_rep", "_n", total, "inner").withColumn("_blocks", F.least(F.lit(MOST_SALTS), F.ceil(F.col("_n") / SALT_ROWS)).cast("int"))
-    met = stored(met, "met")
-    side = lambda x, salt: met.select("_tok", salt.alias("_salt"), *[F.col(c).alias(c + x) for c in ("_rep", "root", "_size", "_rest")])
-    left = side("_a", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
-    right = side("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    small, large = F.least("_size_a", "_size_b"), F.greatest("_size_a", "_size_b")
-    both = left.join(right, ["_tok", "_salt"]).filter((F.col("_rep_a") < F.col("_rep_b")) & (F.col("root_a") != F.col("root_b")) & (small >= similarity * large - 1e-9))
-    pairs = both.groupBy(F.col("_rep_a").alias("_a"), F.col("_rep_b").alias("_b")).agg(
-        F.count("*").alias("_c"), F.first(F.col("_size_a") + F.col("_size_b")).alias("_sum"), F.first(F.greatest("_rest_a", "_rest_b")).alias("_most")
-    )
-    return pairs.filter(F.col("_c") + F.col("_most") >= similarity / (1 + similarity) * F.col("_sum") - 1e-6).select("_a", "_b")
-
-
-def _similar(pairs: DataFrame, slim: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(u, v): the pairs (_a, _b) of representatives whose sets of shingles have the similarity."""
-    ends = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).groupBy("_id").agg(F.count("*").alias("_deg"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(shingles(t.as_py(), words)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], ["_id", "_set", "_deg"])
-
-    # an id may have several rows with different texts: the text of which it is the representative
-    chosen = rows.join(texts.select("_key", F.col("_rep").alias("_id")), ["_key", "_id"], "left_semi").join(ends, "_id").select("_id", "_key", "_deg").distinct()
-    chosen = stored(chosen, "ends")
-    few = chosen.count() <= BROADCAST_ENDS
-    held = slim.join(F.broadcast(chosen) if few else chosen, "_id").select("_id", "_raw", "_deg").dropDuplicates(["_id"])
-    held = stored(held.select("_id", "_raw", "_deg").mapInArrow(sets, "_id long, _set binary, _deg long"), "sets")
-    total = 2 * pairs.count()
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["u", "v"])
-
-    one = hot_join(pairs.withColumnRenamed("_a", "_id"), held, ["_id"], "_b", "_deg", total, "inner").select(F.col("_id").alias("_a"), F.col("_b").alias("_id"), F.col("_set").alias("_x"))
-    both = hot_join(one, held, ["_id"], "_a", "_deg", total, "inner").select("_a", F.col("_id").alias("_b"), "_x", F.col("_set").alias("_y"))
-    return both.mapInArrow(near, "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, several: int = SEVERAL, tau: int = 2) -> DataFrame:
-    """(id, component_id) of every row: texts that are the same or similar share the smallest id of their group.
-
-    Two texts are linked if their sets of five-word shingles have the similarity (Jaccard), and all that have it are in one
-    group. Texts of fewer than five words are one shingle. First come the close copies, which may be many: each text has
-    several fingerprints under different mixings, and texts of which any two of a kind are within tau bits are candidates;
-    of those that share a fingerprint each is compared with the least, as in links(). That finds most copies but not all.
-    So all pairs that are not in a group yet and share a shingle of their prefixes are candidates too, see prefix_pairs().
-
-    Null texts count as empty; rows that repeat an id stay rows. Null ids are never a component_id unless a group has no
-    other. Other columns are ignored; an empty table gives an empty one.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws = [t.as_py() or b"" for t in b.column(1)]
-            keys = [xxhash.xxh3_128_hexdigest(r) for r in raws]
-            prints, sizes, rests, prefixes = [], [], [], []
-            for r in raws:
-                h = shingles(r, words)
-                prints.append(several_fingerprints(h, several))
-                x = np.unique(h)
-                first, rest = prefix(x, similarity, common.value)
-                sizes.append(len(x))
-                rests.append(rest)
-                prefixes.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys), pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(rests, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["_id", "_key", "_fps", "_size", "_rest", "_prefix"],
-            )
-
-    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_raw"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(slim, words))
-    rows = stored(slim.mapInArrow(run, "_id long, _key string, _fps array<long>, _size long, _rest long, _prefix array<long>"), "fingerprints")
-    texts = stored(rows.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("_fps", "_size", "_rest", "_prefix")]), "texts")
-    each = texts.filter("_rep is not null").select("_rep", F.posexplode("_fps").alias("_s", "_fp"))
-    nodes = stored(each.groupBy("_s", "_fp").agg(F.min("_rep").alias("_least"), F.count("*").alias("_w")), "nodes")
-    met = links(nodes.select("_s", "_fp"), tau, kind="_s")
-    left, right = nodes.select("_s", F.col("_fp").alias("u"), F.col("_least").alias("_a")), nodes.select("_s", F.col("_fp").alias("v"), F.col("_least").alias("_b"))
-    across = met.join(left, ["_s", "u"]).join(right, ["_s", "v"]).select("_a", "_b")
-    shared = nodes.filter("_w > 1")
-    total = shared.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
-    within = hot_join(each, shared, ["_s", "_fp"], "_rep", "_w", total, "inner").select(F.col("_least").alias("_a"), F.col("_rep").alias("_b"))
-    pairs = across.unionAll(within).filter("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
-    close = stored(_similar(stored(pairs, "pairs"), slim, rows, texts, words, similarity), "close")
-    grouped = texts.filter("_rep is not null").join(components(close).withColumnRenamed("u", "_rep"), "_rep", "left").withColumn("root", F.coalesce("root", "_rep"))
-    rest = stored(prefix_pairs(grouped, similarity), "pairs")
-    found = components(close.unionAll(_similar(rest, slim, rows, texts, words, similarity)))
-    roots = texts.join(found.select(F.col("u").alias("_rep"), "root"), "_rep", "left").withColumn("root", F.coalesce("root", "_rep"))
-    roots = stored(roots.select("_key", "_rep", "_n", "root"), "rooted")
-    least = stored(roots.groupBy("root").agg(F.min("_rep").alias("component_id"), F.count("*").alias("_w")), "components")
-    total = least.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
-    classes = stored(hot_join(roots, least, ["root"], "_key", "_w", total).select("_key", "_n", "component_id"), "classes")
-    n = classes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    return hot_join(rows.select("_id", "_key"), classes, ["_key"], "_id", "_n", n, "inner").select(F.col("_id").alias(id_col), "component_id")
-
-
-#: Ids of candidates that may be broadcast to find their texts: about 60 bytes each, so 30 MB.
-BROADCAST_ENDS = 500_000

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from latticework.llm import simhash
+from latticework.llm import near, simhash
 from latticework.llm.common import hot_join
 from latticework.llm.exact_dedup import exact_dedup
 from latticework.llm.line_dedup import line_dedup
@@ -76,9 +76,9 @@ def test_empty_tables(spark):
 def test_hot_join_is_a_left_join(spark):
     facts = spark.range(5000).select(F.col("id"), F.when(F.col("id") < 2000, 1).when(F.col("id") < 2100, F.lit(None)).otherwise(F.col("id") % 50).alias("k"))
     dims = facts.filter("k is not null and k <> 7").groupBy("k").agg(F.count("*").alias("n"))
-    got = hot_join(facts, dims, ["k"], "id", "n", 5000)
+    got = hot_join(facts, dims, ["k"], "id", "n", slim=False)
     assert got.count() == 5000 and got.filter("n is null").count() == facts.filter("k is null or k = 7").count()
-    assert hot_join(facts, dims, ["k"], "id", "n", 5000, "inner").agg(F.sum("n")).first()[0] == dims.agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+    assert hot_join(facts, dims, ["k"], "id", "n", "inner").agg(F.sum("n")).first()[0] == dims.agg(F.sum(F.col("n") * F.col("n"))).first()[0]
 
 
 def brute_fingerprint(text):
@@ -125,7 +125,8 @@ def test_simhash_query(spark):
 
 
 @pytest.mark.parametrize(("tau", "dense"), [(2, 4), (2, 10**9), (3, 4)])
-def test_links_lose_nothing_in_dense_clusters(spark, tau, dense):
+def test_links_lose_nothing_in_dense_clusters(spark, monkeypatch, tau, dense):
+    monkeypatch.setattr(simhash, "FEW_EDGES", 50 if dense == 4 else 16_384)  # rounds of contraction, and one task
     rng = np.random.default_rng(9)
     prints = {int(x) for x in rng.integers(0, 1 << 63, 150)}
     for base in rng.integers(0, 1 << 63, 3):
@@ -178,13 +179,13 @@ def test_near_duplicates(spark):
     docs += [(400 + i, " ".join(docs[i][1].split()[:150]) + " " + text(150)) for i in range(20)]  # half the same
     docs += [(500, None), (501, ""), (502, "a b"), (503, "A b"), (None, "a b"), (504, "one two three four five six")]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, _rep int, component_id string")
-    rows = simhash.near_duplicates(df).collect()
+    rows = near.near_duplicates(df).collect()
     assert len(rows) == len(docs)
     got = {r["doc_id"]: r["component_id"] for r in rows}
     assert all(got[200 + i] == got[i] == i for i in range(20)) and got[501] == 500 and got[503] == got[None] == 502 and got[504] == 504
     assert sum(got[100 + i] == i for i in range(30)) >= 28 and sum(got[300 + i] == 59 for i in range(40)) >= 37
     assert all(got[400 + i] == 400 + i for i in range(20))
-    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    assert near.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_near_duplicates_are_complete(spark):
@@ -196,7 +197,7 @@ def test_near_duplicates_are_complete(spark):
         for k in rng.choice(len(w), int(rng.integers(1, max(2, len(w) // 30))), replace=False):
             w[k] = str(rng.choice(vocabulary))
         docs.append((100 + i, " ".join(w)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     alike = {100 + i: similarity(docs[i][1], docs[60 + i][1]) for i in range(60)}
     assert sum(0.8 <= x < 0.9 for x in alike.values()) >= 10 and sum(x < 0.8 for x in alike.values()) >= 5
     assert got == {i: i if i < 100 or alike[i] < 0.8 else i - 100 for i in got}
@@ -210,5 +211,39 @@ def test_texts_with_equal_fingerprints_are_compared_with_each_other(spark):
     own = text(150).split()
     docs = [(1, f"{sentence} {text(150)}"), (2, f"{sentence} {' '.join(own)}"), (3, f"{sentence} {' '.join([*own[:70], 'other', *own[71:]])}")]
     assert similarity(docs[1][1], docs[2][1]) >= 0.9 > 0.1 > similarity(docs[0][1], docs[1][1])
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_near_duplicates_of_a_large_group_and_of_an_id_with_two_texts(spark, monkeypatch):
+    monkeypatch.setattr(near, "MOST_PAIRS", 0)  # rounds of leaders until they settle nothing more
+    rng = np.random.default_rng(16)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(2000)]
+    base = rng.choice(vocabulary, 150)
+
+    def copy():
+        w = base.copy()
+        for k in rng.choice(150, 2, replace=False):
+            w[k] = rng.choice(vocabulary)
+        return " ".join(w)
+
+    docs = [(i, copy()) for i in range(120)] + [(500 + i, " ".join(rng.choice(vocabulary, 80))) for i in range(20)]
+    docs += [(500, docs[130][1]), (500, docs[0][1]), (None, docs[1][1])]
+    got = sorted((str(r[0]), r[1]) for r in near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, a) in enumerate(docs):
+        for j in range(i):
+            if (i < 120 or docs[j][1] == a or i > 139 and j < 120) and similarity(a, docs[j][1]) >= 0.8:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    least = {}
+    for i, (k, _) in enumerate(docs):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    assert got == sorted((str(k), least[find(i)]) for i, (k, _) in enumerate(docs))
