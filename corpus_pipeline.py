@@ -15,7 +15,7 @@ from latticework.llm.common import crc_mod, stored, table, without
 from latticework.llm.decontaminate import find_leaks
 from latticework.llm.line_dedup import line_dedup
 from latticework.llm.quality import fit_quality, score_quality
-from latticework.llm.simhash import near_duplicates as near_groups
+from latticework.llm.near import near_duplicates as near_groups
 
 #: SQL can express neither the classifier nor the latent space nor the merges.
 ORACLE_SQL = None
