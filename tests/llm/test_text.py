@@ -125,12 +125,53 @@ def test_quality(spark):
     assert 0 <= none.score(b"") <= 1
 
 
-def test_pooling_over_chunks_is_that_of_the_whole():
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 97, 1000, 5003])
+def test_pooling_is_that_of_all_chunks_whatever_the_pieces(n):
     net = quality.ByteConvNet()
-    raw = np.random.default_rng(1).integers(32, 127, 5000).astype(np.uint8).tobytes()
-    whole = net.pooled(raw)
-    net.CHUNK = 512
-    assert np.allclose(net.pooled(raw), whole, atol=1e-5)
+    rng = np.random.default_rng(n)
+    net.bias, net.mix_bias = rng.standard_normal(net.FILTERS).astype(np.float32), rng.standard_normal(net.HIDDEN).astype(np.float32)
+    raw = (b"again and " * 400 + rng.integers(32, 127, 3000).astype(np.uint8).tobytes())[:n]
+    # brute force: every window, every chunk
+    step, taps, k = net.STEP, net.TAPS, net.BLOCK
+    steps = max(-(-len(raw) // step), 2 * k)
+    data = np.frombuffer(raw.ljust((steps + taps) * step, b"\0"), np.uint8)
+    kernel = net.kernel.reshape(step * net.DIM, taps, net.FILTERS)
+    y = np.stack([np.einsum("tc,ctf->f", net.emb[data[i * step : (i + taps) * step]].reshape(taps, -1), kernel) for i in range(steps)])
+    starts = sorted({*range(0, steps - 2 * k + 1, k), steps - 2 * k})
+    chunks = np.stack([y[i : i + 2 * k].max(axis=0) for i in starts])
+    act = np.maximum(chunks + net.bias, 0)
+    want = np.concatenate([act.max(axis=0), np.maximum(act @ net.mix + net.mix_bias, 0).max(axis=0)])
+    for size in (1, 2, 3, 1 << 10):
+        net.PIECE = size
+        assert np.allclose(net.pooled(raw), want, atol=1e-4)
+
+
+def test_gradients_are_those_of_the_loss():
+    net, raw, label = quality.ByteConvNet(), b"In in in in zu zu zu zu. Die Katze und der Hund | und | die Maus!! " * 3, 1.0
+    params = [net.emb, net.kernel, net.bias, net.mix, net.mix_bias, net.out, net.base]
+    for k, p in enumerate(params):
+        params[k] = p.astype(np.float64)
+    net.emb, net.kernel, net.bias, net.mix, net.mix_bias, net.out, net.base = params
+    grads = [np.zeros_like(p) for p in params]
+    net._gradients(net._steps(raw), label, 1.0, grads)
+    rng, loss = np.random.default_rng(3), lambda: -math.log(net.score(raw))
+    for p, g in zip(params, grads, strict=True):
+        for at in rng.choice(p.size, min(p.size, 12), replace=False):
+            before, e = p.flat[at], 1e-4
+            p.flat[at] = before + e
+            up = loss()
+            p.flat[at] = before - e
+            down = loss()
+            p.flat[at] = before
+            assert math.isclose((up - down) / (2 * e), g.flat[at], rel_tol=0.05, abs_tol=2e-4)
+
+
+def test_quality_of_held_out_documents(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    net = quality.fit_quality(docs, labels, crc_mod(F.col("doc_id"), 3) != 1)
+    held = docs.join(labels, "doc_id").filter(crc_mod(F.col("doc_id"), 3) == 1).collect()
+    ok = [(net.score((r["text"] or "").encode()) >= 0.5) == (r["quality"] == 1) for r in held]
+    assert np.mean(ok) >= 0.98
 
 
 def test_language(spark):
