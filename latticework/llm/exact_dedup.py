@@ -25,9 +25,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null ids only keeps them all (keep_id null). Rows that repeat id and text both stay and both count. Other columns
     of the input are ignored, so their names cannot clash. An empty input gives an empty result.
 
-    Candidate groups are broadcast behind a check of their number; beyond it lengths are joined
-    by a shuffle of slim rows, and the refinement by prefixes is dropped: every text is hashed in the scan, with the same
-    result. Texts never enter a shuffle.
+    Candidate lengths and groups are broadcast behind a check of their number, and no text enters a shuffle. Beyond it the
+    same joins are shuffled, hot groups salted; rows then carry their texts to the group, and still only those of surviving
+    groups are hashed.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
@@ -37,14 +37,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lengths = lengths.count()
     prefix = F.xxhash64(F.substring("_text", 1, PREFIX_CHARS))
     slim = base.select("_len", prefix.alias("_prefix")).join(_sized(lengths, n_lengths), "_len", "left_semi")
-    groups = stored(slim.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).filter("_n > 1").select("_len", "_prefix"), "prefixes")
-    n_groups = groups.count()
-    rows = base.withColumn("_prefix", prefix)
-    if n_groups <= BROADCAST_GROUPS:
-        rows = rows.join(F.broadcast(groups.withColumn("_candidate", F.lit(True))), ["_len", "_prefix"], "left")
-    else:  # a shuffle of the texts would cost more than hashing them all in the scan
-        rows = rows.withColumn("_candidate", F.lit(True))
-    rows = rows.withColumn("_full", F.when(F.col("_candidate"), F.sha2("_text", 256))).drop("_text", "_prefix", "_candidate")
+    groups = stored(slim.groupBy("_len", "_prefix").agg(F.count("*").alias("_rows")).filter("_rows > 1"), "prefixes")
+    rows, groups = base.withColumn("_prefix", prefix), groups.withColumn("_candidate", F.lit(True))
+    if groups.count() <= BROADCAST_GROUPS:
+        rows = rows.join(F.broadcast(groups.drop("_rows")), ["_len", "_prefix"], "left")
+    else:
+        rows = hot_join(rows, groups, ["_len", "_prefix"], "_id", "_rows", slim=False)
+    rows = rows.withColumn("_full", F.when(F.col("_candidate"), F.sha2("_text", 256))).drop("_text", "_prefix", "_candidate", "_rows")
     equal = stored(
         rows.filter("_full is not null").groupBy("_len", "_full").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).filter("_n > 1"), "equal"
     )

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: The fit takes about TRAIN_PER_LANG documents a language, twice that at most, of at most TRAIN_BYTES bytes each.
 TRAIN_PER_LANG = 1200
 TRAIN_BYTES = 16_384
+#: Languages that are learned: the most frequent ones.
+MOST_LANGS = 200
 DIM = 2048
 EPOCHS = 6
 
@@ -115,23 +117,29 @@ class LanguageModel:
         return lang, p * q
 
 
-def fit_languages(docs: DataFrame, allowed: Column, per_lang: int = TRAIN_PER_LANG, size: int = TRAIN_BYTES) -> LanguageModel:
-    """A model of the languages in docs.lang, fitted on a bounded sample of the rows that `allowed` admits; rows without a
-    language, an id or a letter teach nothing. Rows are chosen by a hash of the id, at a rate for each language."""
-    rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= size)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit_languages(
+    docs: DataFrame, allowed: Column, per_lang: int = TRAIN_PER_LANG, size: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> LanguageModel:
+    """A model of the MOST_LANGS most frequent languages of docs, fitted on a bounded sample of the rows that `allowed` admits;
+    rows without a language, an id or a letter teach nothing. Rows are chosen by a hash of the id, at a rate for each language that follows its number of ids;
+    of rows that repeat an id and a language one teaches, the least text. The sample is cut before it is collected."""
+    rows = docs.filter(allowed).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_id").isNotNull() & (F.octet_length("_text") <= size))
+    top = rows.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("n")).orderBy(F.desc("n"), "_lang").limit(MOST_LANGS).collect()
+    counts = {r["_lang"]: r["n"] for r in top}
     if not counts:
         return LanguageModel([], [])
-    draw, out_of = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1_000_000)), 1_000_000
+    draw, out_of = F.pmod(F.xxhash64(F.lit(5), F.col("_id")), F.lit(1_000_000)), 1_000_000
     rate = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(out_of, -(-per_lang * out_of // n)))])
-    sample = sorted(rows.filter(draw < F.element_at(rate, F.col("lang"))).collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    drawn = rows.filter(draw < F.element_at(rate, F.col("_lang"))).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
+    sample = sorted(drawn.limit(2 * per_lang * len(counts)).collect(), key=lambda r: (r["_id"], r["_lang"]))
     taken: dict[str, int] = {}
     kept = []
     for r in sample:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= 2 * per_lang and has_letter(r["text"]):
+        taken[r["_lang"]] = taken.get(r["_lang"], 0) + 1
+        if taken[r["_lang"]] <= 2 * per_lang and has_letter(r["_text"]):
             kept.append(r)
-    return LanguageModel([r["text"] for r in kept], [r["lang"] for r in kept])
+    return LanguageModel([r["_text"] for r in kept], [r["_lang"] for r in kept])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

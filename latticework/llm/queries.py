@@ -77,7 +77,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents appended as small shards and compacted; one row per document, read back from the last version."""
+    """documents appended as small shards and compacted; one row per document, read back from the last version: its shard's
+    path, and the size and digest of its text (both null for a null text)."""
     store = ShardStore(spark, shared_dir(spark))
     store.append(table(spark, sf_dir, "documents"))
     version = store.compact()

@@ -1,6 +1,7 @@
 """Decontamination, sharding and the pipeline."""
 
 import hashlib
+import threading
 
 import numpy as np
 import public_tokenizers
@@ -93,7 +94,7 @@ def test_store(spark):
     more = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0)], docs.schema)
     assert late.append(more) == last + 1 and store.read().count() == 1002
     with pytest.raises(CommitConflict):
-        store._commit(store.manifest().first()["path"].split("/")[1], {small[0]["path"]})
+        store._commit(store.manifest().first()["path"].split("/")[1], [small[0]["path"]])
     assert store.vacuum() > 0 and store.read().count() == 1002
 
 
@@ -118,6 +119,34 @@ def test_versions_race(spark):
     assert b.append(df) == 2 and a.read().count() == 2
 
 
+def test_runs_are_bounded_and_two_merges_at_once_lose_nothing(spark):
+    root = shared_dir(spark)
+    a = ShardStore(spark, root, target_bytes=1 << 20, merge_bytes=1)  # the least runs: fan_in shards
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).repartition(9)
+    a.append(df)
+    a.append(df.select(F.col("doc_id") + 400, F.lit(None).cast("string")).toDF("doc_id", "text").repartition(8))
+    first = a._run(a.version())
+    assert len(first) == a.fan_in and {p for p, _ in first} <= {r["path"] for r in a.manifest().filter("added = 1").collect()}
+    runs, failed = [], []
+
+    def merge(store):
+        try:
+            runs.append(store.compact())
+        except CommitConflict as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=merge, args=(ShardStore(spark, root, target_bytes=1 << 20, merge_bytes=1),)) for _ in range(2)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert runs and len(runs) + len(failed) == 2
+    late = ShardStore(spark, root, target_bytes=1 << 20, merge_bytes=1)
+    last = late.compact()
+    assert last == late.compact() and late.manifest().count() < 17
+    for version in (2, last):
+        rows = late.read(version).collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(800)) and sum(r["text"] is None for r in rows) == 400
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -168,7 +197,12 @@ def test_native_operators_plan_no_python(spark):
     store.append(docs)
     for df in (line_dedup(docs), store.read()):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExternalRDD")), plan
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExternalRDD", "ExistingRDD")), plan
+    store.compact()
+    tables = [store.manifest(), store.manifest(0), store._added(store.manifest().first()["path"].split("/")[1]), store._listed(["a", "b"]), store.read()]
+    for df in tables:
+        assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "ExternalRDD", "ExistingRDD"))
+        assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
 
 
 def test_sweep_deletes_what_was_written(spark):

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from latticework.llm import exact_dedup as exact_dedup_module
 from latticework.llm import near, simhash
 from latticework.llm.common import hot_join
 from latticework.llm.exact_dedup import exact_dedup
@@ -31,7 +32,9 @@ def test_sql(spark, name):
     compare(QUERIES[name](spark, SF), connect(SF), ORACLE_SQL[name])
 
 
-def test_exact_odd(spark):
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_exact_odd(spark, monkeypatch, bound):
+    monkeypatch.setattr(exact_dedup_module, "BROADCAST_GROUPS", bound)
     rows = [(r["doc_id"], r["text"] or "") for r in odd(spark).collect()]
     got = exact_dedup(odd(spark), carry={"sha": F.sha2(F.coalesce("text", F.lit("")), 256)}).collect()
     assert len(got) == len(rows)

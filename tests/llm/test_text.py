@@ -217,6 +217,33 @@ def test_language(spark):
     assert empty.predict("words") == ("und", 0.0)
 
 
+def test_the_sample_of_languages_is_bounded(spark):
+    rows = [(7, "the cat and the dog", "en")] * 500 + [(i, f"der hund und die katze {i}", "de") for i in range(100)] + [(i, f"xx yy {i}", f"l{i}") for i in range(300, 330)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, _id string")
+    model = langid.fit_languages(df, F.lit(True), per_lang=20)
+    assert len(model.within) >= 30 and model.predict("der hund und die katze")[0] == "de" and model.predict("the cat and the dog")[0] == "en"
+
+
+def test_machines_tell_what_a_line_can_tell():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 6)).astype(np.float32)
+    y = np.where(x @ np.array([1, -2, 0.5, 0, 0, 1]) > 0.1, 1.0, -1.0)
+    w, b, _ = langid.fit_svm(x, y, epochs=20)
+    assert np.mean((x @ w + b > 0) == (y > 0)) >= 0.95
+
+
+def test_a_vote_is_that_of_all_pairs():
+    rng = np.random.default_rng(9)
+    names, pairs = list("abcd"), [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    machine = (names, pairs, rng.standard_normal((6, 5)).astype(np.float32), rng.standard_normal(6), np.ones(6))
+    for _ in range(50):
+        x = rng.standard_normal(5).astype(np.float32)
+        won = dict.fromkeys(names, 0)
+        for k, (i, j) in enumerate(pairs):
+            won[names[i] if machine[2][k] @ x + machine[3][k] >= 0 else names[j]] += 1
+        assert won[langid.LanguageModel._vote(x, machine)[0]] == max(won.values())
+
+
 def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), ""]
 
