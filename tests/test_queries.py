@@ -1,5 +1,10 @@
 """Every registered query that has SQL against DuckDB, and the others for a stable shape."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 from latticework.plans.catalogue import ORACLE_SQL, QUERIES
@@ -27,3 +32,22 @@ def test_entry(spark):
 
     df = __spark_entry__.entry(spark)
     assert df.columns == ["y", "x", "v"] and df.count() == 1024
+
+
+@pytest.mark.parametrize("gone", [["latticework/llm", "tests/llm"], ["latticework/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_points_without_the_optional_parts(tmp_path, gone):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    for name in gone:
+        path = copy / name
+        if path.is_dir():
+            shutil.rmtree(path)
+        elif path.exists():
+            path.unlink()
+    ask = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), len(s), 'pipeline' in q, any(k.startswith('op1_') for k in q), set(s) <= set(q))"
+    out = subprocess.run([sys.executable, "-B", "-c", ask], cwd=copy, capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": str(copy)})
+    assert out.returncode == 0, out.stderr
+    n, m, pipeline, llm, inside = out.stdout.split()
+    left = "latticework/llm" not in gone and os.path.isdir(os.path.join(root, "latticework/llm"))
+    assert int(n) >= len(QUERIES) and int(m) >= len(ORACLE_SQL) and inside == "True"
+    assert (pipeline, llm) == ("False", str(left))
