@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +118,15 @@ class Items:
             found.append(item[_spread(lo, hi - lo)])
         return (np.concatenate(starts), np.concatenate(found)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
+    def from_hashes(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of words that are given by word_hashes()."""
+        if not hasattr(self, "by_hash"):
+            found = sorted((xxhash.xxh32_intdigest(w), n) for w, n in self.vocab.items())
+            self.by_hash = np.array([x for x, _ in found], np.uint32), np.array([n for _, n in found], self.dtype)
+        keys, numbers = self.by_hash
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where(keys[at] == h, numbers[at], np.array(self.unknown, self.dtype))
+
     @property
     def dtype(self) -> str:
         return "<u2" if len(self.vocab) < 0xFFFF else "<u4"
@@ -152,9 +163,26 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int =
         yield Items(part)
 
 
-def encoded(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _ids): each document's words as numbers of the vocabulary, in order, others as the largest number."""
+def word_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _words): each document's words in order, by 32 bits of hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(1):
+                w = words(t.as_py())
+                out.append(np.fromiter(map(xxhash.xxh32_intdigest, w), "<u4", len(w)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["_id", "_words"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, _words binary")
+
+
+def encoded(docs: DataFrame, items: Items) -> DataFrame:
+    """(_id, _ids): each document's words as numbers of the vocabulary, in order, others as the largest number. docs has _id
+    and _text, or _words of word_hashes()."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
+    hashed = "_words" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = shared.value
@@ -162,12 +190,14 @@ def encoded(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFr
         for b in batches:
             out = []
             for t in b.column(1):
-                w = words(t.as_py())
-                out.append(np.fromiter((number(x, other) for x in w), kind, len(w)).tobytes())
+                if hashed:
+                    out.append(it.from_hashes(np.frombuffer(t.as_py(), "<u4")).tobytes())
+                else:
+                    w = words(t.as_py())
+                    out.append(np.fromiter((number(x, other) for x in w), kind, len(w)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["_id", "_ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, _ids binary")
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, _ids binary")
 
 
 class Passages:
@@ -418,21 +448,27 @@ def search(ids: DataFrame, items: Items, weight: np.ndarray, latent: LatentItems
     return ids.mapInArrow(run, f"_id {kind}, _k long, _cosine double, _lcs double, _answer double")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:
     """(id, item, cosine, lcs, answer): one row for each document and benchmark item of which it holds the text or a
     paraphrase, with the best values over its passages.
 
     Null and empty texts hold nothing; items without words are in no document. Rows that repeat an id are taken together.
     A null id gets rows with a null id. Other columns are ignored. No documents or no items: no rows.
-    Words are read once into numbers, written to the shared folder; the passes for frequencies, the sketch, its turn and
-    the search read only those. What goes to the driver or is broadcast depends on the items of a block, not on documents.
+    Documents are split into words once; with several blocks of items these are written as hashes, from which each block
+    takes its numbers. The passes for frequencies, the sketch, its turn and the search read only numbers. What goes to the
+    driver or is broadcast depends on the items of a block, not on documents.
     """
     spark: SparkSession = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     found = spark.createDataFrame([], f"`{id_col}` {kind}, `{item_col}` {item_kind}, cosine double, lcs double, answer double")
-    for items in item_blocks(benchmark, item_col, "text"):
-        ids = stored(encoded(docs, items, id_col, text_col), "words")
+    parts = item_blocks(benchmark, item_col, "text", block)
+    head = list(islice(parts, 2))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    if len(head) > 1:
+        source = stored(word_hashes(docs, id_col, text_col), "hashes")
+    for items in chain(head, parts):
+        ids = stored(encoded(source, items), "words")
         weight = weights(ids, items)
         directions, singular = latent_space(ids, items, weight)
         hits = search(ids, items, weight, LatentItems(items, weight, directions, singular))
