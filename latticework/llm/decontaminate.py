@@ -369,56 +369,50 @@ class LatentItems:
         self.item, self.value = part, (value / length[part]).astype(np.float32)
         self.directions, self.damp = directions.astype(np.float32), (within * (1 - scale**2) / length[:, None]).T.astype(np.float32)
         self.length, self.lost = length.astype(np.float32), (1 - scale**2).astype(np.float32)
-        self.owners = np.flatnonzero(np.diff(items.owner, prepend=-1))
 
-    def blocks(self, p: Passages) -> Iterator[tuple[int, np.ndarray]]:
-        """The first passage and the cosines of each block of those that have a term."""
+    def near(self, p: Passages) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, part of an item, cosine) of all that share a term of some weight, by blocks of passages: the larger of the
+        cosine in the latent space, where both sides have their damped length, and of the undamped one. What repeats all over
+        the corpus is a leading direction itself; damped, it hardly counts beside the other words of a passage, undamped it
+        does."""
         ends = np.append(p.begin, len(p.term))
         step = max(1, CELLS // self.n)
         for lo in range(0, len(p.begin), step):
+            rows = min(step, len(p.begin) - lo)
             part = Passages.__new__(Passages)
-            hi = min(lo + step, len(p.begin))
-            part.begin = p.begin[lo:hi] - p.begin[lo]
-            part.term, part.value = p.term[ends[lo] : ends[hi]], p.value[ends[lo] : ends[hi]]
-            yield lo, self.cosines(part)
-
-    def cosines(self, p: Passages) -> np.ndarray:
-        """(passage x item), the best over the item's own passages, for the passages that have a term: the larger of the cosine in the latent space, where both
-        sides have their damped length, and of the undamped one. What repeats all over the corpus is a leading direction
-        itself; damped, it hardly counts beside the other words of a passage, undamped it does."""
-        if not len(p.term):
-            return np.zeros((0, len(self.owners)), np.float32)
-        row = np.repeat(np.arange(len(p.begin)), np.diff(np.append(p.begin, len(p.term))))
-        sizes = self.start[p.term + 1] - self.start[p.term]
-        at = _spread(self.start[p.term], sizes)
-        key = np.repeat(row, sizes) * self.n + self.item[at]
-        own = np.bincount(key, np.repeat(p.value, sizes) * self.value[at], len(p.begin) * self.n).reshape(-1, self.n)
-        along = p.times(self.directions)
-        left = np.sqrt(np.maximum(1 - (along**2) @ self.lost, 1e-6))
-        best = np.minimum(np.maximum((own - along @ self.damp) / left[:, None], own * self.length), 1.0)
-        return best if len(self.owners) == self.n else np.maximum.reduceat(best, self.owners, axis=1)
+            part.begin = p.begin[lo : lo + rows] - p.begin[lo]
+            part.term, part.value = p.term[ends[lo] : ends[lo + rows]], p.value[ends[lo] : ends[lo + rows]]
+            sizes = self.start[part.term + 1] - self.start[part.term]
+            at = _spread(self.start[part.term], sizes)
+            key = np.repeat(np.repeat(np.arange(rows), np.diff(ends[lo : lo + rows + 1])), sizes) * self.n + self.item[at]
+            own = np.bincount(key, np.repeat(part.value, sizes) * self.value[at], rows * self.n)
+            met = np.flatnonzero(own)
+            own, row, column = own[met], met // self.n, met % self.n
+            along = part.times(self.directions)
+            left = np.sqrt(np.maximum(1 - (along**2) @ self.lost, 1e-6))
+            damped = (own - (along @ self.damp).ravel()[met]) / left[row]
+            yield row + lo, column, np.minimum(np.maximum(damped, own * self.length[column]), 1.0)
 
 
 def candidates(items: Items, space: LatentItems, p: Passages, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, item, cosine) of the passages near an item and of those, whatever their cosine, that start a common run."""
-    n = len(items.ids)
+    """(window, item, cosine) of the passages near an item, the best over its parts, and of those, whatever their cosine, that
+    start a common run."""
+    n, owner = len(items.ids), np.array(items.owner)
     runs = [(p.first[d] + at // STEP) * n + k for d, x in enumerate(docs) for at, k in [items.common_runs(x)] if len(at)]
     runs = np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.int64)
-    keys, cosines = [], []
-    for lo, near in space.blocks(p):
-        which = p.which[lo : lo + len(near)]
-        rows, cols = np.nonzero(near >= COSINE)
-        keys.append(which[rows] * n + cols)
-        cosines.append(near[rows, cols])
-        row = np.minimum(np.searchsorted(which, runs // n), len(which) - 1)
-        own = runs[which[row] == runs // n]
-        row = row[which[row] == runs // n]
-        keys.append(own)
-        cosines.append(near[row, own % n])
-    keys.append(runs)  # those of which no word weighs anything
-    cosines.append(np.zeros(len(runs)))
-    key, first = np.unique(np.concatenate(keys), return_index=True)
-    return key // n, key % n, np.concatenate(cosines)[first].astype(np.float64)
+    keys, cosines = [runs], [np.zeros(len(runs))]  # at least 0, where no word weighs anything
+    for row, part, cosine in space.near(p):
+        key = p.which[row] * n + owner[part]
+        kept = cosine >= COSINE
+        if len(runs):
+            at = np.minimum(np.searchsorted(runs, key), len(runs) - 1)
+            kept |= runs[at] == key
+        keys.append(key[kept])
+        cosines.append(cosine[kept])
+    key, cosine = np.concatenate(keys), np.concatenate(cosines)
+    order = np.lexsort((-cosine, key))
+    key, first = np.unique(key[order], return_index=True)
+    return key // n, key % n, cosine[order][first].astype(np.float64)
 
 
 def search(ids: DataFrame, items: Items, weight: np.ndarray, latent: LatentItems) -> DataFrame:
