@@ -15,7 +15,16 @@ HOT_SHARE = 1000
 SALTS = 64
 
 
+#: Settings of the session for texts, which are longer than rows usually are: the size of what goes to Python at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the registered queries. Where the session has no BATCHES of its own, it gets these."""
+    given = spark.sparkContext.getConf()
+    for key, value in BATCHES.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,8 +74,8 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Slim rows (a few numbers each) that may be broadcast instead of a shuffle: some 64 bytes each in memory, so 16 MB.
-SMALL_ROWS = 250_000
+#: Slim rows (a few numbers each) that may be broadcast instead of a shuffle: some 64 bytes each in memory, so 4 MB.
+SMALL_ROWS = 65_536
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -81,11 +81,12 @@ def prefix(x: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarra
 def buckets(texts: DataFrame) -> DataFrame:
     """(_tok, _node, root, _size, _rest, _n, _score): texts(_node, _size, _rest, _prefix) by the shingles of their prefixes
     that several of them have, _n of them. A text's score is the size of all its buckets; its root is itself."""
-    probes = texts.select("_node", "_size", "_rest", F.explode("_prefix").alias("_tok"))
+    probes = texts.select("_node", F.explode("_prefix").alias("_tok"))
     sizes = probes.groupBy("_tok").agg(F.count("*").alias("_n")).filter("_n > 1")
     met = stored(hot_join(probes, stored(sizes, "sizes"), ["_tok"], "_node", "_n", "inner"), "buckets")
-    score = stored(met.groupBy("_node").agg(F.sum("_n").alias("_score")), "scores")
-    return met.join(small(score), "_node").withColumn("root", F.col("_node"))
+    score = met.groupBy("_node").agg(F.sum("_n").alias("_score"), F.count("*").alias("_w"))
+    facts = stored(score.join(texts.select("_node", "_size", "_rest"), "_node"), "scores")
+    return stored(hot_join(met, facts, ["_node"], "_tok", "_w", "inner").drop("_w").withColumn("root", F.col("_node")), "buckets")
 
 
 def unsettled(met: DataFrame, of: DataFrame) -> tuple[DataFrame, int]:
