@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: the old one, and what is met again moves on. It changes speed only.
 MEMORY = 200_000
 #: Bytes of text encoded before a batch is handed on.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -111,18 +111,18 @@ def merge(piece: bytes, rank: Callable[[bytes], int | None]) -> list[int]:
 class Codec:
     """Encodes and decodes by a list of tokens whose index is id and rank. Picklable: rebuilt from the tokens."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
-        self.tokens, self.pattern = tokens, pattern
+    def __init__(self, tokens: list[bytes], pattern: str, memory: int = MEMORY):
+        self.tokens, self.pattern, self.memory = tokens, pattern, memory
         present = [i for i, t in enumerate(tokens) if t]
         self.present = present
         self.whole = PerfectHash([tokens[i] for i in present])
         self.ready = False
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("tokens", "pattern", "present", "whole")} | {"ready": False}
+        return {k: self.__dict__[k] for k in ("tokens", "pattern", "memory", "present", "whole")} | {"ready": False}
 
     def _prepare(self) -> None:
-        tokens, present, whole = self.tokens, self.present, self.whole
+        tokens, present, whole, most = self.tokens, self.present, self.whole, self.memory
         rank = {tokens[i]: i for i in present}.get
 
         old: dict[str, bytes] = {}
@@ -135,7 +135,7 @@ class Codec:
                     i = present[whole.find(raw)]
                     ids = [i] if tokens[i] == raw else merge(raw, rank)
                     packed = np.array(ids, "<i4").tobytes()
-                if len(self) >= MEMORY:
+                if len(self) >= most:
                     old.clear()
                     old.update(self)
                     self.clear()
@@ -160,17 +160,18 @@ _CODEC: dict[int, Codec] = {}  # a worker keeps its last codec between tasks
 
 def encode_decode(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    then: Callable[[list, list[np.ndarray], list[bytes]], pa.RecordBatch] | None = None, schema: str | None = None,
+    then: Callable[[list, list[np.ndarray], list[bytes]], pa.RecordBatch] | None = None, schema: str | None = None, memory: int = MEMORY,
 ) -> DataFrame:
     """(id, ids array<int>, decoded binary) of every row: the ids of the whole text, and the bytes they decode to.
 
     Each match of pattern is encoded by itself, by the ranks of the file at path, without special tokens. The file is read
     on the driver; its tokens, a few hundred kB whatever the input, are broadcast. A null text counts as empty: no ids.
     Repeated rows, null ids and other columns do no harm; an empty table gives an empty one. Nothing is shuffled.
+    `memory` is the number of pre-tokens that a worker remembers in each of two generations; it changes speed only.
     `then` turns lists of ids of rows, token ids and decoded bytes into a batch of `schema`, in the same pass.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Codec(read_ranks(path), pattern))
+    shared = spark.sparkContext.broadcast(Codec(read_ranks(path), pattern, memory))
     kind = docs.schema[id_col].dataType
     key = shared._jbroadcast.id()
 

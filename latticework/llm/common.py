@@ -15,8 +15,9 @@ HOT_SHARE = 1000
 SALTS = 64
 
 
-#: Settings of the session for texts, which are longer than rows usually are: the size of what goes to Python at once.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Settings of the session for texts, which are longer than rows usually are: the size of what goes to Python at once. Small
+#: batches come from pooled buffers; large ones are allocated anew and leave an executor's memory in pieces.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

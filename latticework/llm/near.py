@@ -84,9 +84,9 @@ def buckets(texts: DataFrame) -> DataFrame:
     probes = texts.select("_node", F.explode("_prefix").alias("_tok"))
     sizes = probes.groupBy("_tok").agg(F.count("*").alias("_n")).filter("_n > 1")
     met = stored(hot_join(probes, stored(sizes, "sizes"), ["_tok"], "_node", "_n", "inner"), "buckets")
-    score = met.groupBy("_node").agg(F.sum("_n").alias("_score"), F.count("*").alias("_w"))
+    score = met.groupBy("_node").agg(F.sum("_n").alias("_score"))
     facts = stored(score.join(texts.select("_node", "_size", "_rest"), "_node"), "scores")
-    return stored(hot_join(met, facts, ["_node"], "_tok", "_w", "inner").drop("_w").withColumn("root", F.col("_node")), "buckets")
+    return stored(met.join(facts, "_node").withColumn("root", F.col("_node")), "buckets")  # a text has as many rows as its prefix
 
 
 def unsettled(met: DataFrame, of: DataFrame) -> tuple[DataFrame, int]:
