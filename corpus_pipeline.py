@@ -17,6 +17,8 @@ from latticework.llm.line_dedup import line_dedup
 from latticework.llm.quality import fit_quality, score_quality
 from latticework.llm.near import near_duplicates as near_groups
 
+#: Pre-tokens that a worker remembers: fewer than the codec by itself, beside what four stages have left in an executor.
+MEMORY = 100_000
 #: SQL can express neither the classifier nor the latent space nor the merges.
 ORACLE_SQL = None
 
@@ -62,7 +64,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     return encode_decode(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
-        then=rows, schema="doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        then=rows, schema="doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", memory=MEMORY,
     )
 
 
