@@ -24,6 +24,8 @@ SEVERAL = 6
 SAMPLE, COMMON_SHINGLES = 20_000, 200_000
 #: Members of a bucket that are paired with all its members by one salt; there are at most MOST_SALTS.
 SALT_ROWS, MOST_SALTS = 64, 64
+#: Longs of a text's sketch.
+WORDS = 8
 #: Buckets of at most so many texts are paired without a leader first.
 FEW = 8
 #: Pairs a text that may be left when rounds of leaders end. What is left is compared pair by pair.
@@ -134,14 +136,26 @@ def leaders(met: DataFrame, similarity: float, turn: int) -> DataFrame:
     return _can_be_similar(hot_join(led, lead, ["_tok"], "_b", "_w", "inner").filter("root <> _root_a"), similarity)
 
 
-def prefix_pairs(met: DataFrame, similarity: float) -> DataFrame:
+def sketch(x: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of a set's members in 64 * WORDS classes, as signed numbers. Two sets differ in at least as
+    many members as their sketches in bits."""
+    with np.errstate(over="ignore"):
+        of = (x * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(64 * WORDS)
+    return np.packbits(np.bincount(of.astype(np.int64), minlength=64 * WORDS) % 2, bitorder="little").view("<i8")
+
+
+def prefix_pairs(met: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """(_a, _b): all pairs of texts of unsettled() of different roots that can have the similarity. They meet in a shingle of
-    both prefixes; all pairs of a bucket are tested, in salted blocks."""
-    met = met.withColumn("_blocks", F.least(F.lit(MOST_SALTS), F.ceil(F.col("_n") / SALT_ROWS)).cast("int"))
-    side = lambda x, salt: met.select("_tok", salt.alias("_salt"), F.col("_node").alias(f"_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "_size", "_rest")])
+    both prefixes; all pairs of a bucket are tested, in salted blocks, by sketches(_node, _sketch) before they leave it."""
+    words = [f"_w{k}" for k in range(WORDS)]
+    met = met.join(sketches.select("_node", *[F.col("_sketch")[k].alias(w) for k, w in enumerate(words)]), "_node")
+    met = stored(met.withColumn("_blocks", F.least(F.lit(MOST_SALTS), F.ceil(F.col("_n") / SALT_ROWS)).cast("int")), "met")
+    side = lambda x, salt: met.select("_tok", salt.alias("_salt"), F.col("_node").alias(f"_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "_size", "_rest", *words)])
     left = side("a", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
     right = side("b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return _can_be_similar(left.join(right, ["_tok", "_salt"]).filter((F.col("_a") < F.col("_b")) & (F.col("root_a") != F.col("root_b"))), similarity)
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    alike = apart <= (1 - similarity) / (1 + similarity) * (F.col("_size_a") + F.col("_size_b")) + 1e-6
+    return _can_be_similar(left.join(right, ["_tok", "_salt"]).filter((F.col("_a") < F.col("_b")) & (F.col("root_a") != F.col("root_b")) & alike), similarity)
 
 
 def similar(pairs: DataFrame, slim: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -204,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, sizes, rests, prefixes = [], [], [], []
+            prints, sizes, rests, prefixes, sketches = [], [], [], [], []
             for t in b.column(1):
                 h = shingles(t.as_py(), words)
                 prints.append(several_fingerprints(h, several))
@@ -213,18 +227,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sizes.append(len(x))
                 rests.append(rest)
                 prefixes.append(first.view(np.int64))
+                sketches.append(sketch(x))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(prints, longs), pa.array(sizes, pa.int64()), pa.array(rests, pa.int64()), pa.array(prefixes, longs)],
-                ["_id", "_k1", "_k2", "_fps", "_size", "_rest", "_prefix"],
+                [b.column(0), b.column(2), b.column(3), pa.array(prints, longs), pa.array(sizes, pa.int64()), pa.array(rests, pa.int64()), pa.array(prefixes, longs), pa.array(sketches, longs)],
+                ["_id", "_k1", "_k2", "_fps", "_size", "_rest", "_prefix", "_sketch"],
             )
 
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_raw"))
     slim = slim.select("_id", "_raw", F.xxhash64("_raw").alias("_k1"), F.xxhash64(F.lit(7), "_raw").alias("_k2"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(slim, words))
-    rows = stored(slim.mapInArrow(run, "_id long, _k1 long, _k2 long, _fps array<long>, _size long, _rest long, _prefix array<long>"), "fingerprints")
+    rows = stored(slim.mapInArrow(run, "_id long, _k1 long, _k2 long, _fps array<long>, _size long, _rest long, _prefix array<long>, _sketch array<long>"), "fingerprints")
     # texts get a number when this table is written; it is only read from then on
-    texts = rows.groupBy("_k1", "_k2").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("_fps", "_size", "_rest", "_prefix")])
+    texts = rows.groupBy("_k1", "_k2").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("_fps", "_size", "_rest", "_prefix", "_sketch")])
     texts = stored(texts.withColumn("_node", F.monotonically_increasing_id()), "texts")
     numbers, met = texts.select("_k1", "_k2", "_node", "_rep", "_n"), buckets(texts)
     ordered = lambda pairs: pairs.filter("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
@@ -239,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         of = merged(of, verified(leaders(unmet, similarity, turn), "led"))
         turn += 1
     if pairs:
-        of = merged(of, verified(prefix_pairs(unmet, similarity), "rest"))
+        of = merged(of, verified(prefix_pairs(unmet, texts.select("_node", "_sketch"), similarity), "rest"))
     groups = stored(numbers.join(of, "_node"), "groups")
     least = stored(groups.groupBy("root").agg(F.min("_rep").alias("component_id"), F.count("*").alias("_w")), "components")
     classes = stored(hot_join(groups, least, ["root"], "_node", "_w").select("_k1", "_k2", "_n", "component_id"), "classes")

@@ -250,3 +250,13 @@ def test_near_duplicates_of_a_large_group_and_of_an_id_with_two_texts(spark, mon
         if k is not None:
             least[find(i)] = min(least.get(find(i), k), k)
     assert got == sorted((str(k), least[find(i)]) for i, (k, _) in enumerate(docs))
+
+
+def test_sketches_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(17)
+    bits = lambda a, b: int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+    for n in (0, 1, 5, 100, 3000):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for m in (0, 3, 40):
+            y = np.concatenate([x[m:], rng.integers(0, 1 << 63, m).astype(np.uint64)])
+            assert bits(near.sketch(x), near.sketch(y)) <= len(np.setxor1d(x, y))
