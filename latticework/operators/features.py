@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -138,27 +139,64 @@ def ransac_line(df: DataFrame, x: str, y: str, eps: float, models: int = 64, see
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, query_id: str = "q", point_id: str = "p", vector: str = "vec") -> DataFrame:
-    """(q, p, distance, rank): the k nearest points of each query, itself left out, ties by the lower id.
+    """(q, p, distance, rank): the k nearest points of each query, itself left out, ties by the lower id. Ids are keys;
+    rows without an id or a vector are neither queries nor points; a vector holds no NULL.
 
-    A stated set of queries against all points: queries are broadcast in blocks behind a check of their number; each task
-    keeps the k best of its points for a query before anything is shuffled.
+    A stated set of queries against all points, exactly: queries go out in blocks of about QUERY_BLOCK, of which the
+    driver holds one at a time; several are checkpointed one by one. A task takes its points in batches, keeps the k best of them for each query and sends only these on. Work is the product of both
+    sides, what is shuffled is k rows a query and task.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries: pass blocks of at most {MOST_QUERIES}")
-    q = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_qv"))
-    d = F.sqrt(F.aggregate(F.zip_with("_qv", vector, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v))
-    pairs = points.select(F.col(point_id).alias("_p"), vector).join(F.broadcast(q), F.col("_p") != F.col("_q")).select("_q", "_p", d.alias("_d"))
-    # the salt is the task's own: the first step ranks without a shuffle of all pairs
-    part = pairs.withColumn("_s", F.pmod(F.xxhash64("_p"), F.lit(32)))
-    local = Window.partitionBy("_q", "_s").orderBy("_d", "_p")
-    some = part.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k)
+    kinds = {query_id: queries.schema[query_id].dataType.simpleString(), point_id: points.schema[point_id].dataType.simpleString()}
+    q = queries.filter(F.col(query_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_id).alias("_q"), F.col(vector).cast("array<double>").alias("_v"))
+    p = points.filter(F.col(point_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(point_id).alias("_p"), F.col(vector).cast("array<double>").alias("_v"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    schema = f"_q {kinds[query_id]}, _p {kinds[point_id]}, _d double"
+    near = []
+    for b in range(blocks):
+        best = p.mapInPandas(_nearest(q.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b).collect(), k), schema)
+        near.append(best.checkpoint() if blocks > 1 else best)
+    some = reduce(DataFrame.unionAll, near)
     final = Window.partitionBy("_q").orderBy("_d", "_p")
     out = some.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
     return out.select(F.col("_q").alias("q"), F.col("_p").alias("p"), F.col("_d").alias("distance"), "rank")
 
 
-MOST_QUERIES = 100_000
+#: Queries of a block, about, and distances that are held at once.
+QUERY_BLOCK, DISTANCES = 10_000, 4_000_000
+
+
+def _nearest(queries: list, k: int):
+    """A function over batches of points (_p, _v): the k nearest of all batches for each query."""
+    ids, vectors = np.array([r["_q"] for r in queries], object), np.array([r["_v"] for r in queries], float)
+
+    def run(batches):
+        import pandas as pd
+
+        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, object), np.empty(0))] * len(ids)
+        squares = (vectors * vectors).sum(axis=-1)
+        for batch in batches if len(ids) else ():
+            for at in range(0, len(batch), max(1, DISTANCES // len(ids))):
+                part = batch.iloc[at : at + max(1, DISTANCES // len(ids))]
+                names, x = part["_p"].to_numpy(object), np.stack(part["_v"].to_numpy()).astype(float)
+                sizes = (x * x).sum(axis=1)
+                rough = squares[:, None] + sizes[None, :] - 2 * (vectors @ x.T)
+                slack = 1e-9 * (squares + sizes.max())  # far above what rounding may move a rough square
+                for i in range(len(ids)):
+                    own = rough[i]
+                    if len(own) > k + 1:  # one of them may be the query itself
+                        j = np.flatnonzero(own <= np.partition(own, k)[k] + slack[i])
+                    else:
+                        j = np.arange(len(own))
+                    j = j[names[j] != ids[i]]
+                    d = np.sqrt(((x[j] - vectors[i]) ** 2).sum(axis=1))
+                    p, d = np.concatenate([kept[i][0], names[j]]), np.concatenate([kept[i][1], d])
+                    first = np.lexsort((p, d))[:k]
+                    kept[i] = (p[first], d[first])
+        for at in range(0, len(ids), 1000):
+            rows = [(ids[i], p, d) for i in range(at, min(at + 1000, len(ids))) for p, d in zip(*kept[i], strict=True)]
+            yield pd.DataFrame(rows, columns=["_q", "_p", "_d"])
+
+    return run
 
 
 def embedding_stress(pairs: DataFrame, kind: str) -> DataFrame:

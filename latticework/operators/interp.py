@@ -56,21 +56,32 @@ def warp(grid: DataFrame, size: tuple[int, int], matrix: list[list[float]], shif
 def lookup(queries: DataFrame, knots: DataFrame, key: str, value: str, how: str = "linear") -> DataFrame:
     """value of a table of knots at each query's key: linear, log-lin or log-log between neighbours; NULL outside.
 
-    As-of join by union: knots and queries are sorted together and each query takes the knots before and after it. Knots
-    must be few, as tables are; they are broadcast as one array behind a check, and found by binary steps elsewhere.
+    Of knots with equal keys the largest value counts; knots with a NULL in either column are none. Up to MOST_KNOTS knots
+    are broadcast as one sorted array, in which a key is sought in two steps of about the root of their number; more are
+    met by a sort of both sides, as in asof_join.
     """
-    n = knots.count()
+    k = knots.groupBy(F.col(key).cast("double").alias("k")).agg(F.max(F.col(value).cast("double")).alias("val")).filter("k is not null and val is not null")
+    n = k.count()
     if n > MOST_KNOTS:
-        raise ValueError(f"{n} knots: at most {MOST_KNOTS}; use asof_join")
-    table = knots.agg(F.array_sort(F.collect_list(F.struct(F.col(key).cast("double").alias("k"), F.col(value).cast("double").alias("val")))).alias("_t"))
-    q = queries.crossJoin(F.broadcast(table))
-    below = F.element_at(F.filter("_t", lambda s: s["k"] <= F.col(key)), F.lit(-1))
-    above = F.get(F.filter("_t", lambda s: s["k"] >= F.col(key)), F.lit(0))
-    q = q.withColumn("_lo", F.when(F.col(key) >= F.get("_t", F.lit(0))["k"], below)).withColumn("_hi", above).drop("_t")
-    return q.withColumn(value, between(F.col(key), F.col("_lo.k"), F.col("_lo.val"), F.col("_hi.k"), F.col("_hi.val"), how)).drop("_lo", "_hi")
+        at = F.col(key).cast("double")
+        run = _bracketed(queries.select(at.alias("k")), k.select("k", F.struct("k", "val").alias("_val")), "k", None)
+        out = _hand_back(queries.withColumn("_k", at), run.withColumnRenamed("k", "_k"), "_k").drop("_k")
+    else:
+        table = k.agg(F.array_sort(F.collect_list(F.struct("k", "val"))).alias("_t"))
+        step = max(1, math.isqrt(n))
+        q = queries.crossJoin(F.broadcast(table))
+        firsts = F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0)), F.lit(step)), lambda i: F.get("_t", i)["k"])
+        q = q.withColumn("_i", F.size(F.filter(firsts, lambda f: f <= F.col(key))) - 1)
+        q = q.withColumn("_t", F.when(F.col("_i") >= 0, F.slice("_t", F.greatest(F.col("_i"), F.lit(0)) * step + 1, step + 1)))
+        below = F.try_element_at(F.filter("_t", lambda s: s["k"] <= F.col(key)), F.lit(-1))
+        above = F.get(F.filter("_t", lambda s: s["k"] >= F.col(key)), F.lit(0))
+        out = q.withColumn("_lo", below).withColumn("_hi", above).drop("_t", "_i")
+    return out.withColumn(value, between(F.col(key), F.col("_lo.k"), F.col("_lo.val"), F.col("_hi.k"), F.col("_hi.val"), how)).drop("_lo", "_hi")
 
 
 MOST_KNOTS = 10_000
+#: Distinct keys of a range of a sort, about, and the ranges at most.
+RANGE_KEYS, MOST_RANGES = 1_000_000, 4096
 
 
 def between(k: Column, k0: Column, v0: Column, k1: Column, v1: Column, how: str = "linear") -> Column:
@@ -83,25 +94,61 @@ def between(k: Column, k0: Column, v0: Column, k1: Column, v1: Column, how: str
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, value: str, buckets: Column | None = None) -> DataFrame:
-    """The last value of right at or before each row's key.
+    """The last value of right at or before each row's key; NULL before the first and for a NULL key.
 
-    Both sides are sorted together within ranges of the key (by default all in one range of a sorted partition): the last
-    known value runs forward. Values that reach over a range's border come from the last row of the ranges before it, one
-    row a range.
+    Of right's rows with equal keys the largest value counts; those with a NULL key or value are none. The distinct keys of
+    both sides are sorted together within ranges of the key, so a key with many rows is one row there, and each key's
+    answer goes back to its rows. Ranges come from quantiles of all keys, or from `buckets`, which must not fall as the
+    key rises; what reaches over a range's border is carried by a table of one row a range.
     """
-    spark_cols = left.columns
-    bucket = buckets if buckets is not None else F.lit(0)
-    l = left.withColumn("_b", bucket).withColumn("_side", F.lit(1)).withColumn("_val", F.lit(None).cast(right.schema[value].dataType))
-    r = right.select(on, F.col(value).alias("_val")).withColumn("_b", bucket).withColumn("_side", F.lit(0))
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy("_b").orderBy(on, "_side")
-    run = both.withColumn("_got", F.last("_val", ignorenulls=True).over(w)).filter("_side = 1")
-    tails = r.groupBy("_b").agg(F.max_by("_val", on).alias("_tail"))
-    carried = tails.withColumn("_next", F.lead("_b").over(Window.orderBy("_b")))
-    seen = left.withColumn("_b", bucket).select("_b").distinct()
-    # the tail that holds for a range: that of the last range with rows before it
-    last = seen.join(carried.withColumnRenamed("_b", "_from"), (F.col("_from") < F.col("_b")) & (F.col("_next").isNull() | (F.col("_next") >= F.col("_b"))), "left")
-    return run.join(last.select("_b", "_tail"), "_b", "left").select(*spark_cols, F.coalesce("_got", "_tail").alias(value))
+    known = right.groupBy(on).agg(F.max(value).alias("_val")).filter(F.col(on).isNotNull() & F.col("_val").isNotNull())
+    run = _bracketed(left.select(on), known, on, buckets)
+    name = value + "_" * max(map(len, left.columns))  # no column of left has this name
+    out = _hand_back(left, run.select(on, "_n", F.col("_lo").alias(name)), on)
+    return out.select(*left.columns, F.col(name).alias(value))
+
+
+def _ranges(keys: DataFrame, on: str) -> Column:
+    """The number of a key's range: bounds are quantiles of the distinct keys, sought in two steps."""
+    n = min(MOST_RANGES, -(-keys.count() // RANGE_KEYS))
+    if n <= 1:
+        return F.lit(0)
+    bounds = sorted(set(keys.agg(F.percentile_approx(on, [i / n for i in range(1, n)], 100 * n)).first()[0]))
+    step = max(1, math.isqrt(len(bounds)))
+    parts = [F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)]
+    upto = lambda a: F.size(F.filter(a, lambda b: b <= F.col(on)))
+    part = F.greatest(upto(F.array(*[F.lit(b) for b in bounds[::step]])) - 1, F.lit(0))
+    return part * step + upto(F.get(F.array(*parts), part))
+
+
+def _bracketed(queries: DataFrame, known: DataFrame, on: str, buckets: Column | None) -> DataFrame:
+    """(on, _n, _lo, _hi) for each distinct key of queries: its rows, and the values (_val) of the known keys at or before
+    it and at or after it. Known keys are distinct."""
+    asked = queries.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
+    both = asked.select(on, "_n").join(known.select(on, "_val"), on, "full")
+    both = both.withColumn("_b", buckets if buckets is not None else _ranges(both, on))
+    ends = both.groupBy("_b").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col(on))).alias("_t"), F.min_by("_val", F.when(F.col("_val").isNotNull(), F.col(on))).alias("_h"))
+    order = Window.orderBy("_b")  # one row a range
+    before = F.last("_t", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_h", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.select("_b", before.alias("_before"), after.alias("_after"))
+    w = Window.partitionBy("_b").orderBy(on)
+    w_down = Window.partitionBy("_b").orderBy(F.desc(on))
+    run = both.withColumn("_l", F.last("_val", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumn("_u", F.last("_val", ignorenulls=True).over(w_down.rowsBetween(Window.unboundedPreceding, 0))).filter("_n is not null")
+    return run.join(ends, "_b", "left").select(on, "_n", F.coalesce("_l", "_before").alias("_lo"), F.coalesce("_u", "_after").alias("_hi"))
+
+
+def _hand_back(rows: DataFrame, answers: DataFrame, on: str) -> DataFrame:
+    """rows with the answers (on, _n, ...) to their keys. Keys of more than a thousandth of all rows, fewer than a thousand,
+    are broadcast; their rows, and those without a key, are dealt over the tasks of the join of the others."""
+    got = [c for c in answers.columns if c not in (on, "_n")]
+    heavy = answers.crossJoin(F.broadcast(answers.agg(F.sum("_n").alias("_all")))).filter(F.col("_n") * 1000 > F.col("_all"))
+    heavy = heavy.select(on, F.lit(True).alias("_heavy"), *[F.col(c).alias(f"_heavy{i}") for i, c in enumerate(got)])
+    dealt = rows.join(F.broadcast(heavy), on, "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_heavy") | F.col(on).isNull(), 1 + F.monotonically_increasing_id() % 4096).otherwise(F.lit(0).cast("long")))
+    out = dealt.join(answers.drop("_n").withColumn("_salt", F.lit(0).cast("long")), [on, "_salt"], "left")
+    return out.select(*rows.columns, *[F.coalesce(c, f"_heavy{i}").alias(c) for i, c in enumerate(got)])
 
 
 def closest_index(values: DataFrame, target: Column, index: str, value: str, by: list[str] | None = None) -> DataFrame:

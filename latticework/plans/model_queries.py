@@ -846,7 +846,7 @@ def hotelling_template(spark, sf_dir):
 @q()
 def lle_weights(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("p"), F.col("embedding").cast("array<double>").alias("vec"))
-    near = features.knn(e.filter("p % 50 = 0").withColumnRenamed("p", "q"), e, 4)
+    near = features.knn(e.withColumnRenamed("p", "q"), e, 4)
     diff = near.join(e, "p").join(e.select(F.col("p").alias("q"), F.col("vec").alias("_o")), "q").select("q", "p", F.zip_with("vec", "_o", lambda a, b: a - b).alias("diff"))
     return features.lle_weights(diff, "q")
 

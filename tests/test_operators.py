@@ -317,3 +317,51 @@ def test_windows_of_a_stream(spark, tmp_path):
     batch = pipeline.tumbling(spark.read.parquet(str(tmp_path / "e")), "ts", "1 day", ["event_type"], "value")
     key = lambda df: sorted((r["start"], r["event_type"], r["n"]) for r in df.collect())
     assert key(spark.table("tumbled")) == key(batch)
+
+
+def test_asof_and_lookup_beyond_a_range(spark, monkeypatch):
+    """Many ranges, a key with most rows, NULLs and repeated keys, against a loop."""
+    monkeypatch.setattr(interp, "RANGE_KEYS", 7)
+    monkeypatch.setattr(interp, "MOST_KNOTS", 5)
+    rng = np.random.default_rng(3)
+    left = [(i, None if i % 11 == 0 else 50.0 if i % 3 == 0 else float(rng.integers(-5, 120))) for i in range(400)]
+    right = [(float(rng.integers(0, 100)), None if i % 7 == 0 else float(rng.integers(1, 99))) for i in range(60)] + [(None, 5.0)]
+    a, b = spark.createDataFrame(left, "i int, t double"), spark.createDataFrame(right, "t double, v double")
+    knots = {}
+    for t, v in right:
+        if t is not None and v is not None:
+            knots[t] = max(v, knots.get(t, v))
+    def at_or_before(t):
+        return max((k for k in knots if t is not None and k <= t), default=None)
+    want = {i: knots.get(at_or_before(t)) for i, t in left}
+    assert {r["i"]: r["v"] for r in interp.asof_join(a, b, "t", "v").collect()} == want
+    few = {r["i"]: r["v"] for r in interp.asof_join(a, b, "t", "v", F.floor(F.col("t") / 10)).collect()}
+    assert few == want and len(few) == 400
+    line = {}
+    for i, t in left:
+        lo, hi = at_or_before(t), min((k for k in knots if t is not None and k >= t), default=None)
+        line[i] = None if lo is None or hi is None else knots[lo] if lo == hi else knots[lo] + (knots[hi] - knots[lo]) * (t - lo) / (hi - lo)
+    for most in (5, 10_000):
+        monkeypatch.setattr(interp, "MOST_KNOTS", most)
+        got = {r["i"]: r["v"] for r in interp.lookup(a, b, "t", "v").collect()}
+        assert got.keys() == line.keys() and all((got[i] is None) == (line[i] is None) and (line[i] is None or abs(got[i] - line[i]) < 1e-9) for i in line)
+    assert interp.asof_join(a.limit(0), b, "t", "v").count() == 0
+    assert all(r["v"] is None for r in interp.asof_join(a, b.limit(0), "t", "v").collect())
+    assert all(r["v"] is None for r in interp.lookup(a, b.limit(0), "t", "v").collect())
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    """Blocks of queries and batches of points, equal vectors among them, against all distances."""
+    monkeypatch.setattr(features, "QUERY_BLOCK", 25)
+    monkeypatch.setattr(features, "DISTANCES", 200)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 6)).round(1)
+    x[30:60] = x[30]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    points = spark.createDataFrame([*rows, (None, [0.0] * 6), (99, None)], "p int, vec array<double>")
+    got = {(r["q"], r["rank"]): (r["p"], r["distance"]) for r in features.knn(points.withColumnRenamed("p", "q"), points, 4).collect()}
+    want = {}
+    for i in range(90):
+        d = sorted((float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in range(90) if j != i)[:4]
+        want |= {(i, k + 1): (j, e) for k, (e, j) in enumerate(d)}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
