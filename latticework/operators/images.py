@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.operators.grids import along
 from latticework.operators.interp import sample_linear
 from latticework.operators.neighbors import gradient
 
@@ -30,12 +31,23 @@ def from_polar(polar_grid: DataFrame, cells: DataFrame, angles: int, centre: tup
     return long.join(polar_grid, ["r", "t"], "left").groupBy("y", "x").agg(F.sum(F.col("_w") * F.coalesce("v", F.lit(0.0))).alias("v"))
 
 
-def ring_artefacts(polar_grid: DataFrame) -> DataFrame:
-    """(r, ring): what a radius has on the mean over its angles more than the radii beside it; 0 at least."""
-    m = polar_grid.groupBy("r").agg(F.avg("v").alias("m"))
-    w = Window.orderBy("r")  # one row a radius
-    smooth = (F.coalesce(F.lag("m").over(w), F.col("m")) + F.col("m") + F.coalesce(F.lead("m").over(w), F.col("m"))) / 3
-    return m.select("r", F.greatest(F.col("m") - smooth, F.lit(0.0)).alias("ring"))
+def ring_map(polar_grid: DataFrame, angles: int, radial: int, azimuthal: int) -> DataFrame:
+    """(r, t, v): what a polar image has beyond its median over the radii around, averaged over the angles around.
+
+    The median is the upper one of the cells within `radial` that exist; angles run round, within `azimuthal` both ways.
+    """
+    around = lambda w, whole: {"_m": F.sort_array(F.collect_list("v").over(w.rowsBetween(-radial, radial)))}
+    beyond = along(polar_grid, "r", ["t"], radial, around).withColumn("v", F.col("v") - F.get("_m", F.floor(F.size("_m") / 2).cast("int"))).drop("_m")
+    wide = beyond.select("r", "v", F.explode(F.array(F.col("t") - angles, F.col("t"), F.col("t") + angles)).alias("t")).filter(F.col("t").between(-azimuthal, angles + azimuthal - 1))
+    mean = along(wide, "t", ["r"], azimuthal, lambda w, whole: {"v": F.avg("v").over(w.rowsBetween(-azimuthal, azimuthal))})
+    return mean.filter(F.col("t").between(0, angles - 1)).select("r", "t", "v")
+
+
+def without_rings(grid: DataFrame, spark: SparkSession, radii: int, angles: int, centre: tuple[float, float], radial: int, azimuthal: int) -> DataFrame:
+    """(y, x, v): an image less its rings about a centre, 0 at least."""
+    rings = ring_map(polar(grid, spark, radii, angles, centre), angles, radial, azimuthal)
+    back = from_polar(rings, grid.select("y", "x"), angles, centre).withColumnRenamed("v", "_ring")
+    return grid.join(back, ["y", "x"]).select("y", "x", F.greatest(F.col("v") - F.col("_ring"), F.lit(0.0)).alias("v"))
 
 
 def radial_symmetry(grid: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
@@ -50,10 +62,14 @@ def radial_symmetry(grid: DataFrame, radius: int, least: float = 0.0) -> DataFra
     return v.groupBy(y.alias("y"), x.alias("x")).agg(F.sum("s").alias("votes"), F.sum(F.col("s") * F.col("_n")).alias("strength"))
 
 
-def structure_tensor(grid: DataFrame) -> DataFrame:
-    """(y, x, large, small): the eigenvalues of the outer product of the gradient."""
+def structure_tensor(grid: DataFrame, radius: int = 1) -> DataFrame:
+    """(y, x, large, small): the eigenvalues of the gradient's outer product, averaged over the cells within a radius in
+    y and x that exist."""
     g = gradient(grid, "x").withColumnRenamed("v", "gx").join(gradient(grid, "y", keys=("y", "x")).withColumnRenamed("v", "gy"), ["y", "x"])
-    a, b, c = F.col("gx") * F.col("gx"), F.col("gx") * F.col("gy"), F.col("gy") * F.col("gy")
+    g = g.select("y", "x", (F.col("gx") * F.col("gx")).alias("a"), (F.col("gx") * F.col("gy")).alias("b"), (F.col("gy") * F.col("gy")).alias("c"))
+    means = lambda w, whole: {k: F.avg(k).over(w.rowsBetween(-radius, radius)) for k in "abc"}
+    g = along(along(g, "x", ["y"], radius, means), "y", ["x"], radius, means)
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
     root = F.sqrt(F.pow((a - c) / 2, 2) + b * b)
     return g.select("y", "x", ((a + c) / 2 + root).alias("large"), ((a + c) / 2 - root).alias("small"))
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.operators.keys import hand_back
+
 
 def sample_linear(grid: DataFrame, points: DataFrame, point_id: list[str], border: str = "zero", size: dict[str, int] | None = None) -> DataFrame:
     """Values of a grid (coordinates and v) at real positions with the same coordinate names: linear in each of them.
@@ -65,7 +67,7 @@ def lookup(queries: DataFrame, knots: DataFrame, key: str, value: str, how: str
     if n > MOST_KNOTS:
         at = F.col(key).cast("double")
         run = _bracketed(queries.select(at.alias("k")), k.select("k", F.struct("k", "val").alias("_val")), "k", None)
-        out = _hand_back(queries.withColumn("_k", at), run.withColumnRenamed("k", "_k"), "_k").drop("_k")
+        out = hand_back(queries.withColumn("_k", at), run.withColumnRenamed("k", "_k"), "_k").drop("_k")
     else:
         table = k.agg(F.array_sort(F.collect_list(F.struct("k", "val"))).alias("_t"))
         step = max(1, math.isqrt(n))
@@ -104,7 +106,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, value: str, buckets: C
     known = right.groupBy(on).agg(F.max(value).alias("_val")).filter(F.col(on).isNotNull() & F.col("_val").isNotNull())
     run = _bracketed(left.select(on), known, on, buckets)
     name = value + "_" * max(map(len, left.columns))  # no column of left has this name
-    out = _hand_back(left, run.select(on, "_n", F.col("_lo").alias(name)), on)
+    out = hand_back(left, run.select(on, "_n", F.col("_lo").alias(name)), on)
     return out.select(*left.columns, F.col(name).alias(value))
 
 
@@ -139,18 +141,6 @@ def _bracketed(queries: DataFrame, known: DataFrame, on: str, buckets: Column |
     return run.join(ends, "_b", "left").select(on, "_n", F.coalesce("_l", "_before").alias("_lo"), F.coalesce("_u", "_after").alias("_hi"))
 
 
-def _hand_back(rows: DataFrame, answers: DataFrame, on: str) -> DataFrame:
-    """rows with the answers (on, _n, ...) to their keys. Keys of more than a thousandth of all rows, fewer than a thousand,
-    are broadcast; their rows, and those without a key, are dealt over the tasks of the join of the others."""
-    got = [c for c in answers.columns if c not in (on, "_n")]
-    heavy = answers.crossJoin(F.broadcast(answers.agg(F.sum("_n").alias("_all")))).filter(F.col("_n") * 1000 > F.col("_all"))
-    heavy = heavy.select(on, F.lit(True).alias("_heavy"), *[F.col(c).alias(f"_heavy{i}") for i, c in enumerate(got)])
-    dealt = rows.join(F.broadcast(heavy), on, "left")
-    dealt = dealt.withColumn("_salt", F.when(F.col("_heavy") | F.col(on).isNull(), 1 + F.monotonically_increasing_id() % 4096).otherwise(F.lit(0).cast("long")))
-    out = dealt.join(answers.drop("_n").withColumn("_salt", F.lit(0).cast("long")), [on, "_salt"], "left")
-    return out.select(*rows.columns, *[F.coalesce(c, f"_heavy{i}").alias(c) for i, c in enumerate(got)])
-
-
 def closest_index(values: DataFrame, target: Column, index: str, value: str, by: list[str] | None = None) -> DataFrame:
     """The first index with the least distance to a target."""
     return values.groupBy(*(by or [])).agg(F.min(F.struct(F.abs(F.col(value) - target).alias("d"), F.col(index).alias("i")))["i"].alias("closest"))

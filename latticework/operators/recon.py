@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,8 +153,13 @@ def ramp_response(kind: str, f: Column, cut: float = 1.0) -> Column:
     return F.when(a > cut, 0.0).otherwise(a * shape)
 
 
-def parker_weight(beta: Column, gamma: Column, delta: float) -> Column:
-    """The redundancy weight of a ray at fan angle gamma in view beta, for a scan over pi + 2 delta."""
+def parker_weight(beta: Column, gamma: Column, delta: float, scan: float | None = None) -> Column:
+    """The redundancy weight of a ray at fan angle gamma in view beta, for a scan over pi + 2 delta.
+
+    scan: the angle really scanned; the weights are centred in it and scaled by its share of a half turn.
+    """
+    if scan is not None:
+        return parker_weight(beta + (math.pi + 2 * delta - scan) / 2, gamma, delta) * (scan / math.pi)
     up, flat = 2 * delta - 2 * gamma, math.pi - 2 * gamma
     rise = F.when(F.abs(delta - gamma) < 1e-12, 1.0).otherwise(F.pow(F.sin(math.pi / 4 * beta / (delta - gamma)), 2))
     fall = F.when(F.abs(delta + gamma) < 1e-12, 1.0).otherwise(F.pow(F.sin(math.pi / 4 * (math.pi + 2 * delta - beta) / (delta + gamma)), 2))
@@ -196,7 +202,7 @@ def epipolar_consistency(derivatives: DataFrame, pairs: DataFrame) -> DataFrame:
 def sart(system: DataFrame, sinogram: DataFrame, start: DataFrame, view_order: list[int], rounds: int, relaxation: float = 0.8, minimum: float | None = 0.0) -> DataFrame:
     """Algebraic reconstruction, one view after the other: the mean residual of each ray goes back along it.
 
-    system (view, u, y, x, w) should be a written table, partitioned by view. The image is checkpointed after each view,
+    system (view, u, y, x, w) should be a table from by_view, of which a step reads its own view. The image is checkpointed after each view,
     which keeps plans short; a lost executor costs one view at most.
     """
     image = start
@@ -213,6 +219,15 @@ def sart(system: DataFrame, sinogram: DataFrame, start: DataFrame, view_order: l
     return image
 
 
+def by_view(system: DataFrame, tasks: int = 8) -> DataFrame:
+    """A system matrix written to the folder of checkpoints, one partition a view, each written by `tasks` tasks."""
+    spark = system.sparkSession
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/system-{uuid.uuid4().hex}"
+    deal = F.pmod(F.xxhash64("u", "y", "x"), F.lit(tasks))
+    system.repartition("view", deal).write.partitionBy("view").parquet(path)
+    return spark.read.parquet(path).select(*system.columns)
+
+
 def sart_order(n: int) -> list[int]:
     """Views a third of the scan apart follow each other."""
     step, seen, out, p = max(1, n // 3), set(), [], 0
@@ -235,15 +250,16 @@ def simultaneous_step(system: DataFrame, sinogram: DataFrame, image: DataFrame,
 
 
 def total_variation_steps(image: DataFrame, steps: int, size: float = 0.3) -> DataFrame:
-    """Gradient steps that lower the total variation, each as long as `size` times the gradient's own norm allows."""
+    """Gradient steps that lower the total variation, each as long as `size` times the gradient's own norm allows. Each is
+    checkpointed, as it uses the image three times."""
     from latticework.operators.neighbors import tv_gradient
 
     for _ in range(steps):
         g = tv_gradient(image).withColumnRenamed("v", "_g")
         norm = g.agg(F.sqrt(F.sum(F.col("_g") ** 2)).alias("_n"))
         image = image.join(g, ["y", "x"]).crossJoin(F.broadcast(norm))
-        image = image.select("y", "x", F.when(F.col("_n") > 0, F.col("v") - size * F.col("_g") / F.col("_n")).otherwise(F.col("v")).alias("v"))
-    return image.checkpoint() if steps else image
+        image = image.select("y", "x", F.when(F.col("_n") > 0, F.col("v") - size * F.col("_g") / F.col("_n")).otherwise(F.col("v")).alias("v")).checkpoint()
+    return image
 
 
 def etv(system: DataFrame, sinogram: DataFrame, start: DataFrame, view_order: list[int], rounds: int, tv_steps: int = 5, mix: float = 0.8, relaxation: float = 0.8) -> DataFrame:

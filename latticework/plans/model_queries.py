@@ -405,11 +405,11 @@ def _checkpoints(spark) -> None:
 
 @q()
 def sart_reconstruction(spark, sf_dir):
-    """Two rounds over 12 views of a 16 x 16 phantom."""
+    """A round over 12 views of a 16 x 16 phantom."""
     _checkpoints(spark)
     n, v, b = 16, 12, 25
     image, rays = phantom.rasterize(spark, phantom.shepp_logan(spark), n), recon.parallel_rays(recon.views(spark, v), b, n)
-    system = recon.system_matrix(rays, (n, n)).checkpoint()
+    system = recon.by_view(recon.system_matrix(rays, (n, n)))
     sino = system.join(image, ["y", "x"]).groupBy("view", "u").agg(F.sum(F.col("w") * F.col("v")).alias("v")).checkpoint()
     return recon.sart(system, sino, recon.pixels(spark, n, n).withColumn("v", F.lit(0.0)), recon.sart_order(v), 1)
 
@@ -882,3 +882,17 @@ def tv_descent(spark, sf_dir):
     _checkpoints(spark)
     image = phantom.rasterize(spark, phantom.shepp_logan(spark), 16)
     return neighbors.tv_value(recon.total_variation_steps(image, 3))
+
+
+_SCAN = 2.8
+
+
+@q(
+    f"""WITH g AS (SELECT unnest(range(41)) AS i), h AS (SELECT unnest(range(21)) AS j), t AS (SELECT i, j, i * {_SCAN / 40!r} + {(math.pi + 2 * _DELTA - _SCAN) / 2!r} AS b, (j - 10) * {_DELTA * 0.9 / 10!r} AS g FROM g, h)
+    SELECT i, j, {r6_sql(f'''{_SCAN / math.pi!r} * CASE WHEN b < {2 * _DELTA} - 2 * g THEN pow(sin({math.pi / 4!r} * b / ({_DELTA} - g)), 2) WHEN b <= {math.pi!r} - 2 * g THEN 1 ELSE pow(sin({math.pi / 4!r} * ({math.pi + 2 * _DELTA!r} - b) / ({_DELTA} + g)), 2) END''')} AS w FROM t"""
+)
+def parker_weights_short_scan(spark, sf_dir):
+    """A scan over less than a half turn and the fan: weights are centred and scaled."""
+    t = spark.range(41).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("j"))
+    beta, gamma = F.col("i") * (_SCAN / 40), (F.col("j") - 10) * (_DELTA * 0.9 / 10)
+    return rounded(t.select("i", F.col("j").cast("long").alias("j"), recon.parker_weight(beta, gamma, _DELTA, _SCAN).alias("w")), "w")

@@ -22,13 +22,15 @@ def rounded(df: DataFrame, *values: str) -> DataFrame:
 _GXY = f"{A}, gx AS (SELECT y, x, coalesce(lead(v) OVER (PARTITION BY y ORDER BY x), v) - v AS gx FROM a), gy AS (SELECT y, x, coalesce(lead(v) OVER (PARTITION BY x ORDER BY y), v) - v AS gy FROM a), g AS (SELECT * FROM gx JOIN gy USING (y, x))"
 
 
+_MEAN3 = ", ".join(f"avg({c}) OVER (PARTITION BY {{0}} ORDER BY {{1}} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS {c}" for c in "abc")
+
+
 @q(
-    f"""WITH {_GXY}, e AS (SELECT y, x, gx * gx AS a, gx * gy AS b, gy * gy AS c FROM g)
-    SELECT y, x, {r6_sql('(a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b)')} AS large, {r6_sql('round((a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b), 9)')} AS small FROM e"""
+    f"""WITH {_GXY}, e0 AS (SELECT y, x, gx * gx AS a, gx * gy AS b, gy * gy AS c FROM g), e1 AS (SELECT y, x, {_MEAN3.format("y", "x")} FROM e0), e AS (SELECT y, x, {_MEAN3.format("x", "y")} FROM e1)
+    SELECT y, x, {r6_sql('(a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b)')} AS large, {r6_sql('(a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b)')} AS small FROM e"""
 )
 def structure_tensor(spark, sf_dir):
-    out = images.structure_tensor(grid_a(spark, sf_dir)).withColumn("small", F.round("small", 9))
-    return rounded(out, "large", "small")
+    return rounded(images.structure_tensor(grid_a(spark, sf_dir)), "large", "small")
 
 
 @q(
@@ -50,9 +52,13 @@ def polar_remap(spark, sf_dir):
     return rounded(images.polar(grid_a(spark, sf_dir), spark, 20, 36, (40.0, 31.5)))
 
 
-@q(f"WITH {A}, {_POL}, m AS (SELECT r, avg(v) AS m FROM pol GROUP BY r) SELECT r, {r6_sql('greatest(m - (coalesce(lag(m) OVER (ORDER BY r), m) + m + coalesce(lead(m) OVER (ORDER BY r), m)) / 3, 0)')} AS ring FROM m")
+@q(
+    f"""WITH {A}, {_POL}, md AS (SELECT p.r, p.t, any_value(p.v) AS v, list_sort(list(o.v)) AS l FROM pol p JOIN pol o ON o.t = p.t AND o.r BETWEEN p.r - 2 AND p.r + 2 GROUP BY p.r, p.t),
+    df AS (SELECT r, t, v - l[len(l) // 2 + 1] AS d FROM md)
+    SELECT p.r, p.t, {r6_sql('avg(o.d)')} AS v FROM df p JOIN df o ON o.r = p.r AND (o.t - p.t + 54) % 36 BETWEEN 15 AND 21 GROUP BY p.r, p.t"""
+)
 def ring_artefacts(spark, sf_dir):
-    return rounded(images.ring_artefacts(images.polar(grid_a(spark, sf_dir), spark, 20, 36, (40.0, 31.5))), "ring")
+    return rounded(images.ring_map(images.polar(grid_a(spark, sf_dir), spark, 20, 36, (40.0, 31.5)), 36, 2, 3))
 
 
 @q(f"WITH {A}, {B}, z AS (SELECT y, x, a.v AS p, b.v AS s FROM a JOIN b USING (y, x)), n AS (SELECT *, sqrt(p * p + s * s) AS n FROM z) SELECT y, x, {r6_sql('CASE WHEN n > 0.1 THEN p * (1 - 0.1 / n) ELSE 0 END')} AS p, {r6_sql('CASE WHEN n > 0.1 THEN s * (1 - 0.1 / n) ELSE 0 END')} AS s FROM n")
