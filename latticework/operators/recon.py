@@ -103,6 +103,65 @@ def fan_back_project(sinogram: DataFrame, angles: DataFrame, image: DataFrame, b
     return long.join(sinogram, ["view", "u"]).groupBy("y", "x").agg((F.sum(F.col("k") * F.col("v")) * (span / n / 2)).alias("v"))
 
 
+def cone_matrices(angles: DataFrame, shape: tuple[int, int], source: float, detector: float, spacing: float = 1.0) -> DataFrame:
+    """(view, p): the 3 x 4 matrices of a circular scan about the z axis, the centre at 0, for cone_back_project with the
+    distance 1: the last row is the distance along the central ray over that of the centre."""
+    h, w = shape
+    c, s = F.cos("angle"), F.sin("angle")
+    # along = source - (y cos - x sin), across = x cos + y sin; u = across * detector / along / spacing + middle
+    depth = [s / source, -c / source, F.lit(0.0), F.lit(1.0)]
+    across, up = [c, s, F.lit(0.0), F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)]
+    k = detector / source / spacing
+    rows = [[a * k + d * ((w - 1) / 2) for a, d in zip(across, depth, strict=True)], [a * k + d * ((h - 1) / 2) for a, d in zip(up, depth, strict=True)], depth]
+    return angles.select("view", F.array(*[e for r in rows for e in r]).alias("p"))
+
+
+def cone_rays(angles: DataFrame, shape: tuple[int, int], size: int, source: float, detector: float, spacing: float = 1.0) -> DataFrame:
+    """(view, r, u, ox, oy, oz, dx, dy, dz, near, far): rays from the source to the cells (r, u) of a flat detector, in
+    voxels of a cube of a size, and the stretch of each within the ball around it."""
+    h, w = shape
+    mid, c, s = (size - 1) / 2, F.cos("angle"), F.sin("angle")
+    out = angles.select("view", "angle", F.explode(F.sequence(F.lit(0), F.lit(h * w - 1))).alias("_i"))
+    r, u = F.floor(F.col("_i") / w), F.col("_i") % w
+    across, up = (u - (w - 1) / 2) * spacing, (r - (h - 1) / 2) * spacing
+    n = F.sqrt(across * across + up * up + detector * detector)
+    out = out.select(
+        "view", r.cast("int").alias("r"), u.cast("int").alias("u"), (source * -s).alias("ox"), (source * c).alias("oy"), F.lit(0.0).alias("oz"),
+        ((across * c + detector * s) / n).alias("dx"), ((across * s - detector * c) / n).alias("dy"), (up / n).alias("dz"),
+    )
+    nearest = -(F.col("ox") * F.col("dx") + F.col("oy") * F.col("dy") + F.col("oz") * F.col("dz"))
+    miss2 = F.lit(source * source) - nearest * nearest
+    half = F.sqrt(F.greatest(F.lit(3 * (mid + 1) ** 2) - miss2, F.lit(0.0)))
+    return out.select("view", "r", "u", *[(F.col(f"o{a}") + mid).alias(f"o{a}") for a in "xyz"], "dx", "dy", "dz", (nearest - half).alias("near"), (nearest + half).alias("far"))
+
+
+def cone_project(volume: DataFrame, rays: DataFrame, size: int, per_voxel: int = 2) -> DataFrame:
+    """(view, r, u, v): trilinear samples of a volume (z, y, x, v) along each ray, added up; outside it is 0. Samples off
+    the volume are left out before the join, and sums are combined before they are shuffled."""
+    steps = F.sequence(F.lit(0), F.floor((F.col("far") - F.col("near")) * per_voxel).cast("int"))
+    s = rays.select("*", F.explode(steps).alias("_k")).withColumn("_t", F.col("near") + F.col("_k") / per_voxel)
+    s = s.select("view", "r", "u", *[(F.col(f"o{a}") + F.col(f"d{a}") * F.col("_t")).alias(a) for a in "zyx"])
+    inside = s.filter(F.col("x").between(-1, size) & F.col("y").between(-1, size) & F.col("z").between(-1, size))
+    sums = sample_linear(volume, inside, ["view", "r", "u"])
+    full = rays.select("view", "r", "u").join(sums, ["view", "r", "u"], "left")
+    return full.select("view", "r", "u", (F.coalesce("v", F.lit(0.0)) / per_voxel).alias("v"))
+
+
+def fdk(projections: DataFrame, angles: DataFrame, voxels: DataFrame, shape: tuple[int, int], source: float, detector: float, spacing: float = 1.0, kind: str = "ram_lak") -> DataFrame:
+    """(k, j, i, v): cosine weights, ramp filter along the rows and weighted back projection of a full circular scan.
+
+    projections (view, r, u, v); voxels (k, j, i, wx, wy, wz) from the centre, as for cone_back_project.
+    """
+    h, w = shape
+    across, up = (F.col("u") - (w - 1) / 2) * spacing, (F.col("r") - (h - 1) / 2) * spacing
+    weighted = projections.withColumn("v", F.col("v") * detector / F.sqrt(across * across + up * up + detector * detector))
+    rows = filter_views(weighted, kind, spacing, ("view", "r"))
+    matrices = cone_matrices(angles, shape, source, detector, spacing)
+    # a distance of 1, as the depth is relative; every ray is seen twice and the detector magnifies
+    out = cone_back_project(rows.select("view", F.col("r").alias("y"), F.col("u").alias("x"), "v"), matrices, voxels, 1.0)
+    return out.withColumn("v", F.col("v") * (detector / source / 2))
+
+
 def cone_back_project(projections: DataFrame, matrices: DataFrame, voxels: DataFrame, distance: float) -> DataFrame:
     """Voxel-driven: (u, v, w) = P (x, y, z, 1), bilinear in the view at (u/w, v/w), weighted D^2 2 pi / N / w^2.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("grid_queries", "model_queries", "stream_queries", "more_queries")
+MODULES = ("grid_queries", "model_queries", "stream_queries", "more_queries", "correction_queries")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import ieee
 from latticework.functions.expressions import parse
-from latticework.operators import features, geometry, graph, grids, interp, linalg, neighbors, phantom, physics, recon, selection, spectral
+from latticework.operators import corrections, features, geometry, graph, grids, interp, linalg, neighbors, phantom, physics, recon, selection, spectral
 from latticework.sources import grids as files
 from latticework.sources import text
 from latticework.streaming import pipeline
@@ -365,3 +365,46 @@ def test_knn_in_blocks(spark, monkeypatch):
         d = sorted((float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in range(90) if j != i)[:4]
         want |= {(i, k + 1): (j, e) for k, (e, j) in enumerate(d)}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_fdk_of_a_ball(spark):
+    """Projections of a ball are its chords, and reconstruction gives back its density in the middle and 0 outside."""
+    n, v, shape, src, det = 16, 24, (25, 27), 80.0, 100.0
+    mid, radius = (n - 1) / 2, 5.0
+    cells = spark.range(n**3).select((F.col("id") / n**2).cast("int").alias("z"), ((F.col("id") / n).cast("int") % n).alias("y"), (F.col("id") % n).cast("int").alias("x"))
+    r2 = F.pow(F.col("z") - mid, 2) + F.pow(F.col("y") - mid, 2) + F.pow(F.col("x") - mid, 2)
+    ball = cells.withColumn("v", F.when(r2 <= radius * radius, 1.0).otherwise(0.0))
+    angles = recon.views(spark, v, 2 * math.pi)
+    sino = recon.cone_project(ball, recon.cone_rays(angles, shape, n, src, det), n).persist()
+    assert sino.count() == v * shape[0] * shape[1]
+    middle = sino.filter("r = 12 and u = 13").agg(F.min("v"), F.max("v")).first()
+    assert 9.0 < middle[0] <= middle[1] < 11.0
+    assert sino.filter("r in (0, 24)").agg(F.max("v")).first()[0] == 0
+    voxels = cells.select(F.col("z").alias("k"), F.col("y").alias("j"), F.col("x").alias("i"), (F.col("x") - mid).alias("wx"), (F.col("y") - mid).alias("wy"), (F.col("z") - mid).alias("wz"))
+    some = voxels.filter(F.col("k").isin(7, 8) & F.col("j").isin(1, 7, 8))
+    got = {(r["k"], r["j"], r["i"]): r["v"] for r in recon.fdk(sino, angles, some, shape, src, det).collect()}
+    assert all(0.8 < got[k, j, i] < 1.2 for k in (7, 8) for j in (7, 8) for i in (6, 7, 8, 9))
+    assert all(abs(got[k, 1, i]) < 0.15 for k in (7, 8) for i in (0, 1, 14, 15))
+
+
+def test_hardening(spark):
+    """The polynomial straightens its own curve, and the table's factors balance the two sides."""
+    rows = [(30.0 + 10 * e, 1.0 + e % 3, 0.2 + 4.0 / (1 + e)) for e in range(6)] + [(99.0, -5.0, 7.0)]
+    curve = corrections.hardening_curve(spark, spark.createDataFrame(rows, "energy double, weight double, mu double"), 5.0, 100)
+    c = corrections.precorrection(curve, 5)
+    for r in curve.collect():
+        assert abs(sum(k * r["poly"] ** i for i, k in enumerate(c)) - r["mono"]) < 0.05
+    spectrum = [(1.0, 0.25, 0.6), (2.0, 0.2, 0.35), (0.5, 0.18, 0.22)]
+    soft, hard = [0.0, 1.0, 4.0], [0.0, 0.1, 1.0]
+    got = corrections.hardening_table(spectrum, soft, hard, -4.0, 4.0)
+    for s, row in zip(soft, got, strict=True):
+        for h, f in zip(hard, row, strict=True):
+            alone = sum(w * math.exp(-a * s) for w, a, _ in spectrum)
+            assert abs(sum(w * math.exp(-a * s + h * (f * a - b)) for w, a, b in spectrum) - alone) < 1e-9
+        assert abs(row[0] - row[1]) < 0.1
+
+
+def test_levenberg_marquardt(spark):
+    points = spark.range(200).select((F.col("id") / 40).alias("x")).withColumn("y", 2.5 * F.exp(-1.3 * F.col("x")) + 0.4)
+    p, error = corrections.levenberg_marquardt(points, "y", lambda p: p[0] * F.exp(-p[1] * F.col("x")) + p[2], [1.0, 0.5, 0.0])
+    assert np.allclose(p, [2.5, 1.3, 0.4], atol=1e-5) and error < 1e-8
