@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators import features, geometry, graph, grids, interp, linalg, neighbors, phantom, physics, pointwise, recon, spectral
-from latticework.plans.fixtures import A, B, WIDTH, grid_a, grid_b, r6, r6_sql, table
+from latticework.plans.fixtures import A, B, VOLUME, WIDTH, grid_a, grid_b, r6, r6_sql, table, volume
 from latticework.plans.registry import Registry
 
 q = Registry()
@@ -656,9 +656,12 @@ def rigid_registration(spark, sf_dir):
     return rounded(geometry.rigid_fit(pairs, ["label"]), "angle", "tx", "ty")
 
 
-@q()
+@q(
+    f"""WITH {P3}, p AS (SELECT DISTINCT label, x, y FROM p3), e AS (SELECT label, a.x AS x, a.y AS y FROM p a JOIN p b USING (label) JOIN p c USING (label) WHERE a.x <> b.x OR a.y <> b.y
+    GROUP BY label, a.x, a.y, b.x, b.y HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) >= 0)) SELECT DISTINCT label, {r6_sql('x')} AS x, {r6_sql('y')} AS y FROM e"""
+)
 def convex_hull(spark, sf_dir):
-    return geometry.hull_2d(points3(spark, sf_dir), ["label"])
+    return rounded(geometry.hull_2d(points3(spark, sf_dir), ["label"]), "x", "y")
 
 
 # graphs
@@ -788,10 +791,17 @@ def logarithmic_fit(spark, sf_dir):
     return rounded(features.log_fit(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), "a", "b")
 
 
-@q()
+@q(
+    """WITH s AS (SELECT count(*)::DOUBLE AS s0, sum(p_size)::DOUBLE AS s1, sum(p_size ** 2)::DOUBLE AS s2, sum(p_size ** 3)::DOUBLE AS s3, sum(p_size ** 4)::DOUBLE AS s4,
+    sum(p_retailprice) AS t0, sum(p_size * p_retailprice) AS t1, sum(p_size ** 2 * p_retailprice) AS t2 FROM part),
+    d AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS d FROM s)
+    SELECT 0 AS power, round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / d, 3) AS coefficient FROM d
+    UNION ALL SELECT 1, round((s0 * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / d, 3) FROM d
+    UNION ALL SELECT 2, round((s0 * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / d, 3) FROM d"""
+)
 def polynomial_fit(spark, sf_dir):
     c = features.polynomial_fit(table(spark, sf_dir, "part"), "p_size", "p_retailprice", 2)
-    return spark.createDataFrame([(k, v) for k, v in enumerate(c)], "power int, coefficient double")
+    return spark.createDataFrame([(k, round(v, 3)) for k, v in enumerate(c)], "power int, coefficient double")
 
 
 @q()
@@ -822,7 +832,10 @@ def mutual_information(spark, sf_dir):
     return rounded(features.mutual_information(features.joint_histogram(pointwise.zip_grids(grid_a(spark, sf_dir), grid_b(spark, sf_dir)), -0.4, 0.4, 8)), "mutual_information")
 
 
-@q()
+@q(
+    f"""WITH {A}, v AS (SELECT round(y + 5 * sin(k * {2 * math.pi / 36!r})) AS y, round(x + 5 * cos(k * {2 * math.pi / 36!r})) AS x FROM a, (SELECT unnest(range(36)) AS k) WHERE v > 0.2)
+    SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, count(*) AS votes FROM v GROUP BY y, x"""
+)
 def hough_votes(spark, sf_dir):
     return features.hough_circles(grid_a(spark, sf_dir).filter("v > 0.2").select("y", "x"), 5.0)
 
@@ -867,14 +880,22 @@ def fft_round_trip(spark, sf_dir):
     return rounded(rows.select("y", F.posexplode(F.transform("r", lambda c: c["re"])).alias("x", "v")))
 
 
-@q()
+@q(
+    f"""WITH {A}, k AS (SELECT unnest(range(128)) AS k), f AS (SELECT k, CASE WHEN k < 64 THEN k / 64.0 ELSE (k - 128) / 64.0 END AS f FROM k),
+    h AS (SELECT m, sum(CASE WHEN f = 0 THEN 0 ELSE sin({math.pi / 2!r} * abs(f)) / {math.pi!r} END * cos({math.pi / 64!r} * k * m)) / 128 AS h FROM f, (SELECT unnest(range(-63, 64)) AS m) GROUP BY m)
+    SELECT o.y, o.x, {r6_sql('sum(i.v * h)')} AS v FROM a o JOIN a i ON i.y = o.y JOIN h ON m = o.x - i.x GROUP BY o.y, o.x"""
+)
 def ramp_filtered_rows(spark, sf_dir):
-    return grids.to_long(grids.to_rows(grid_a(spark, sf_dir)).withColumn("row", spectral.ramp_filter("shepp_logan")("row")))
+    return rounded(grids.to_long(grids.to_rows(grid_a(spark, sf_dir)).withColumn("row", spectral.ramp_filter("shepp_logan")("row"))))
 
 
-@q()
+@q(
+    f"""WITH {A}, k AS (SELECT unnest(range(128)) AS k), f AS (SELECT k, CASE WHEN k < 64 THEN k / 64.0 ELSE (k - 128) / 64.0 END AS f FROM k),
+    h AS (SELECT m, sum(sign(f) * sin({math.pi / 64!r} * k * m)) / 128 AS h FROM f, (SELECT unnest(range(-63, 64)) AS m) GROUP BY m)
+    SELECT o.y, o.x, {r6_sql('sum(i.v * h)')} AS v FROM a o JOIN a i ON i.y = o.y JOIN h ON m = o.x - i.x GROUP BY o.y, o.x"""
+)
 def hilbert_rows(spark, sf_dir):
-    return grids.to_long(grids.to_rows(grid_a(spark, sf_dir)).withColumn("row", spectral.hilbert()("row")))
+    return rounded(grids.to_long(grids.to_rows(grid_a(spark, sf_dir)).withColumn("row", spectral.hilbert()("row"))))
 
 
 @q()
@@ -896,3 +917,19 @@ def parker_weights_short_scan(spark, sf_dir):
     t = spark.range(41).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("j"))
     beta, gamma = F.col("i") * (_SCAN / 40), (F.col("j") - 10) * (_DELTA * 0.9 / 10)
     return rounded(t.select("i", F.col("j").cast("long").alias("j"), recon.parker_weight(beta, gamma, _DELTA, _SCAN).alias("w")), "w")
+
+
+@q(
+    f"""WITH {A}, {VOLUME}, w AS (SELECT view, i // 6 AS r, i % 6 AS u, sin(view * {2 * math.pi / 4!r}) AS s, cos(view * {2 * math.pi / 4!r}) AS c FROM (SELECT unnest(range(4)) AS view), (SELECT unnest(range(30)) AS i)),
+    e AS (SELECT *, (u - 2.5) * 40 AS a, (r - 2) * 40 AS b, sqrt(pow((u - 2.5) * 40, 2) + pow((r - 2) * 40, 2) + 160000) AS n FROM w),
+    d AS (SELECT view, r, u, -300 * s AS ox, 300 * c AS oy, (a * c + 400 * s) / n AS dx, (a * s - 400 * c) / n AS dy, b / n AS dz FROM e),
+    t AS (SELECT *, -(ox * dx + oy * dy) AS mid FROM d), l AS (SELECT *, sqrt(greatest(3168.75 - (90000 - mid * mid), 0)) AS half FROM t),
+    k AS (SELECT *, unnest(range(CAST(floor(2 * half) AS BIGINT) + 1)) AS k FROM l),
+    pt AS (SELECT view, r, u, ox + 31.5 + dx * (mid - half + k) AS px, oy + 31.5 + dy * (mid - half + k) AS py, 31.5 + dz * (mid - half + k) AS pz FROM k),
+    cn AS (SELECT view, r, u, floor(pz) + ez AS z, floor(py) + ey AS y, floor(px) + ex AS x, (CASE ez WHEN 1 THEN pz - floor(pz) ELSE 1 - pz + floor(pz) END) * (CASE ey WHEN 1 THEN py - floor(py) ELSE 1 - py + floor(py) END)
+    * (CASE ex WHEN 1 THEN px - floor(px) ELSE 1 - px + floor(px) END) AS w FROM pt, (VALUES (0), (1)) t1(ez), (VALUES (0), (1)) t2(ey), (VALUES (0), (1)) t3(ex))
+    SELECT CAST(view AS INTEGER) AS view, CAST(r AS INTEGER) AS r, CAST(u AS INTEGER) AS u, {r6_sql('sum(cn.w * coalesce(vol.v, 0))')} AS v FROM cn LEFT JOIN vol ON vol.z = cn.z AND vol.y = cn.y AND vol.x = cn.x GROUP BY view, r, u"""
+)
+def cone_projection(spark, sf_dir):
+    rays = recon.cone_rays(recon.views(spark, 4, 2 * math.pi), (5, 6), WIDTH, 300.0, 400.0, 40.0)
+    return rounded(recon.cone_project(volume(spark, sf_dir), rays, WIDTH, 1))
