@@ -304,16 +304,24 @@ def context_window(volume: DataFrame, before: int, after: int) -> DataFrame:
     )
 
 
-def distance_transform(grid: DataFrame, points: DataFrame, cell: int = 16) -> DataFrame:
-    """Distance from each cell to the nearest of some points. Points are a small set by contract (a skeleton or seeds): the
-    caller passes at most MOST_POINTS, checked here; each task compares its cells with all of them."""
-    found = [(float(r["y"]), float(r["x"])) for r in points.select("y", "x").limit(MOST_POINTS + 1).collect()]
-    if len(found) > MOST_POINTS:
-        raise ValueError(f"more than {MOST_POINTS} points: tile the grid and pass the points near each tile")
-    if not found:
-        return grid.withColumn("v", ieee.inf())
-    py, px = F.array(*[F.lit(y) for y, _ in found]), F.array(*[F.lit(x) for _, x in found])
-    return grid.withColumn("v", F.array_min(F.zip_with(py, px, lambda a, b: F.hypot(F.col("y") - a, F.col("x") - b))))
+def distance_transform(grid: DataFrame, points: DataFrame) -> DataFrame:
+    """Distance from each cell to the nearest of some points; infinite where there are none, points without a place are none.
+
+    Exact, and meant for a skeleton or seeds: work is the product of cells and points. Distinct points come in blocks of
+    about MOST_POINTS, of which the driver holds one at a time; with several, each block's result is checkpointed.
+    """
+    places = points.select(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")).dropna().distinct()
+    blocks = max(1, -(-places.count() // MOST_POINTS))
+    out = grid.withColumn("v", ieee.inf())
+    for b in range(blocks):
+        found = [(r["y"], r["x"]) for r in places.filter(F.pmod(F.xxhash64("y", "x"), F.lit(blocks)) == b).collect()]
+        if not found:
+            continue
+        py, px = F.array(*[F.lit(y) for y, _ in found]), F.array(*[F.lit(x) for _, x in found])
+        near = F.array_min(F.zip_with(py, px, lambda a, c: F.hypot(F.col("y") - a, F.col("x") - c)))
+        out = out.withColumn("v", F.least("v", near))
+        out = out.checkpoint() if blocks > 1 else out
+    return out
 
 
 MOST_POINTS = 4096

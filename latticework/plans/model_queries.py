@@ -856,12 +856,31 @@ def hotelling_template(spark, sf_dir):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(t)], "channel int, weight double")
 
 
-@q()
+def _determinant(m: list[list[str]]) -> str:
+    """SQL for a small determinant, along the first row."""
+    if len(m) == 1:
+        return m[0][0]
+    parts = [f"{'-' if j % 2 else '+'} {m[0][j]} * ({_determinant([[*r[:j], *r[j + 1 :]] for r in m[1:]])})" for j in range(len(m))]
+    return " ".join(parts)
+
+
+_G = [[f"g{min(i, j)}{max(i, j)}" + (" + 1e-3 * greatest(tr, 1e-12)" if i == j else "") for j in range(4)] for i in range(4)]
+_G = [[f"({c})" for c in r] for r in _G]
+_LLE = ", ".join(f"{_determinant([['1.0'] * 4 if i == k else r for i, r in enumerate(_G)])} AS w{k}" for k in range(4))
+_GRAM = ", ".join(f"max(CASE WHEN a.rank = {i + 1} AND b.rank = {j + 1} THEN list_dot_product(a.z, b.z) END) AS g{i}{j}" for i in range(4) for j in range(i, 4))
+
+
+@q(
+    f"""WITH e AS (SELECT vec_id AS p, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT q.p AS q, p.p AS p, list_transform(list_zip(p.v, q.v), lambda t: t[1] - t[2]) AS z FROM e q JOIN e p ON p.p <> q.p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sqrt(list_dot_product(z, z)), 9), p) AS rank FROM d), n AS (SELECT * FROM r WHERE rank <= 4),
+    g AS (SELECT q, {_GRAM} FROM n a JOIN n b USING (q) GROUP BY q), t AS (SELECT *, g00 + g11 + g22 + g33 AS tr FROM g), w AS (SELECT q, {_LLE} FROM t)
+    SELECT q, p, round((CASE rank WHEN 1 THEN w0 WHEN 2 THEN w1 WHEN 3 THEN w2 ELSE w3 END) / (w0 + w1 + w2 + w3), 6) + 0.0 AS weight FROM n JOIN w USING (q)"""
+)
 def lle_weights(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("p"), F.col("embedding").cast("array<double>").alias("vec"))
     near = features.knn(e.withColumnRenamed("p", "q"), e, 4)
     diff = near.join(e, "p").join(e.select(F.col("p").alias("q"), F.col("vec").alias("_o")), "q").select("q", "p", F.zip_with("vec", "_o", lambda a, b: a - b).alias("diff"))
-    return features.lle_weights(diff, "q")
+    return rounded(features.lle_weights(diff, "q"), "weight")
 
 
 # frequency domain

@@ -408,3 +408,14 @@ def test_levenberg_marquardt(spark):
     points = spark.range(200).select((F.col("id") / 40).alias("x")).withColumn("y", 2.5 * F.exp(-1.3 * F.col("x")) + 0.4)
     p, error = corrections.levenberg_marquardt(points, "y", lambda p: p[0] * F.exp(-p[1] * F.col("x")) + p[2], [1.0, 0.5, 0.0])
     assert np.allclose(p, [2.5, 1.3, 0.4], atol=1e-5) and error < 1e-8
+
+
+def test_distance_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "MOST_POINTS", 3)
+    rng = np.random.default_rng(9)
+    p = rng.uniform(0, 12, size=(11, 2))
+    points = spark.createDataFrame([*map(tuple, p.tolist()), tuple(p[0].tolist()), (None, 1.0)], "y double, x double")
+    got = dense(neighbors.distance_transform(grid(spark, np.zeros((9, 13))), points), (9, 13))
+    want = np.array([[np.hypot(p[:, 0] - y, p[:, 1] - x).min() for x in range(13)] for y in range(9)])
+    assert np.allclose(got, want)
+    assert np.isinf(dense(neighbors.distance_transform(grid(spark, np.zeros((2, 2))), points.limit(0)), (2, 2))).all()
