@@ -22,9 +22,21 @@ def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
 
 
 def gram(a: DataFrame, columns: int) -> DataFrame:
-    """A'A of a matrix whose rows are arrays of a known, small width: one pass, nothing but partial sums is shuffled."""
-    pairs = F.flatten(F.transform("row", lambda p, i: F.transform("row", lambda r, j: F.struct(i.alias("i"), j.alias("j"), (p * r).alias("p")))))
-    return a.select(F.explode(pairs).alias("e")).select("e.*").groupBy("i", "j").agg(F.sum("p").alias("v"))
+    """A'A of a matrix whose rows are arrays of a known, small width: one pass, in which a task adds up the products of its
+    batches and sends on one matrix. NULL elements count as 0, NULL rows are none."""
+
+    def products(batches):
+        total = None
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["row"].to_numpy())
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape, np.int32)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "p": total.ravel()})
+
+    rows = a.filter("row is not null").select(F.transform(F.slice("row", 1, columns), lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("row"))
+    return rows.mapInPandas(products, "i int, j int, p double").groupBy("i", "j").agg(F.sum("p").alias("v"))
 
 
 def outer(a: DataFrame, b: DataFrame) -> DataFrame:
