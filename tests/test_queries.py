@@ -23,6 +23,23 @@ def test_sql(spark, duck, name):
     compare(QUERIES[name](spark, SF), duck, ORACLE_SQL[name])
 
 
+def rows_up_to(tmp_path, n: int) -> str:
+    """The tables with n embeddings, so that the volume of ten slices is high, and ragged unless n is divided by ten."""
+    import duckdb
+
+    for name in os.listdir(SF):
+        os.symlink(f"{SF}/{name}", tmp_path / name) if name != "embeddings.parquet" else None
+    duckdb.execute(f"COPY (SELECT vec_id + 500 * k AS vec_id, embedding, label FROM '{SF}/embeddings.parquet', range(3) t(k) WHERE vec_id + 500 * k < {n}) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("n", [1006])
+@pytest.mark.parametrize("name", ["cone_projection"])
+def test_sql_of_ragged_volumes(spark, tmp_path, name, n):
+    sf = rows_up_to(tmp_path, n)
+    compare(QUERIES[name](spark, sf), connect(sf), ORACLE_SQL[name])
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
 
