@@ -632,7 +632,7 @@ def dilate_3d(spark, sf_dir):
 
 @q(f"WITH {A}, {VOLUME}, {_V3} SELECT z, y, x, {r6_sql('sum(CASE WHEN abs(dz) + abs(dy) + abs(dx) <= 1 THEN n ELSE 0 END) / 7')} AS v FROM n3 GROUP BY z, y, x")
 def mean_6_neighbours(spark, sf_dir):
-    return rounded(neighbors.mean_6_neighbours(volume(spark, sf_dir)))
+    return rounded(neighbors.mean_6_neighbours(volume(spark, sf_dir), {"z": 10, "x": WIDTH}))
 
 
 @q(f"WITH {A}, {VOLUME} SELECT z, y, x, {r6_sql('avg(v) OVER (PARTITION BY y, x ORDER BY z ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)')} AS v FROM vol")

@@ -34,7 +34,7 @@ def rows_up_to(tmp_path, n: int) -> str:
 
 
 @pytest.mark.parametrize("n", [1006])
-@pytest.mark.parametrize("name", ["cone_projection", "dilate_3d"])
+@pytest.mark.parametrize("name", ["cone_projection", "dilate_3d", "mean_6_neighbours"])
 def test_sql_of_ragged_volumes(spark, tmp_path, name, n):
     sf = rows_up_to(tmp_path, n)
     compare(QUERIES[name](spark, sf), connect(sf), ORACLE_SQL[name])
